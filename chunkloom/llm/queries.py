@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chunkloom.functions.keys import hex_key
-from chunkloom.llm import distinct_patterns as dp, seen_before as sb
+from chunkloom.llm import abuse, contamination, distinct_patterns as dp, packing, seen_before as sb
 from chunkloom.session import materialize, table
 
 #: What is counted: result name, table, identifier, time, groups.
@@ -48,7 +48,62 @@ def p4_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("n_new", "n_wrong", (F.col("n_wrong") / F.greatest("n_new", F.lit(1))).alias("wrong_rate"), F.lit(sb.error_bound()).alias("rate_bound"))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_counts, p4_found, p4_error_rate)}
+#: Tokens of one container.
+CAPACITY = 4096
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = packing.token_counts(docs, "doc_id", "text")
+    packed = packing.pack(sizes, "doc_id", CAPACITY, docs.count())
+    return packed.withColumn("unused_share", (F.lit(CAPACITY) - F.col("container_tokens")) / F.lit(float(CAPACITY)))
+
+
+def p6_unused_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = p6_containers(spark, sf_dir).where(F.col("container_id").isNotNull())
+    total = own.agg(F.count_if(F.col("slot") == 0).alias("n_containers"), F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("sum_tokens"))
+    return total.select("*", (F.lit(1.0) - F.col("sum_tokens") / (F.col("n_containers") * CAPACITY)).alias("unused_share"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return docs, contamination.find_leaks(docs, table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)[1].select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _leaks(spark, sf_dir)[1]
+    return spans.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max(F.col("n_fit") / F.col("n_words")).alias("largest_share"))
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spans = _leaks(spark, sf_dir)
+    return contamination.without_leaks(docs, materialize(spans, "spans"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where(F.col("score") >= abuse.REPORT_FROM).select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = p8_scores(spark, sf_dir).select(F.lower("source").alias("source"), (F.col("score") >= abuse.REPORT_FROM).alias("reported"))
+    return own.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("reported").alias("n_reported"), F.avg(F.col("reported").cast("double")).alias("rate"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_distinct_counts, p4_found, p4_error_rate, p6_containers, p6_unused_share, p7_found, p7_leaked_items, p7_cleaned,
+        p8_found, p8_scores, p8_source_rates,
+    )
+}
 
 
 def _t(c: str) -> str:
