@@ -27,7 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chunkloom.functions.keys import identity_digest
 
-DIGEST, INDEX_HASH, PART = "__digest", "__ident64", "__part"
+DIGEST, INDEX_HASH, PART = "digest", "ident64", "part"
+#: Stored rows: the whole message is one struct, so its column names can't clash with these.
+ORDER, ROW = "ord", "message"
 
 
 class _Files:
@@ -83,10 +85,10 @@ class MessageStore:
             return None
         return self.spark.read.option("basePath", f"{self.root}/{kind}").schema(snap[kind]).parquet(*chosen).drop("__v")
 
-    def rows(self, drop: bool = True) -> DataFrame | None:
+    def rows(self) -> DataFrame | None:
         """The current winners; None before the first commit of a row."""
         df = self._read("data", self.snapshot())
-        return df.drop(DIGEST, INDEX_HASH, PART) if df is not None and drop else df
+        return df if df is None else df.select(f"{ROW}.*")
 
     def affected(self, incoming: DataFrame, snap: dict | None = None) -> list[str]:
         """Partitions that hold an identifier of ``incoming``: one entry per partition at most."""
@@ -103,19 +105,16 @@ class MessageStore:
         (default: all) of winners are stored.
         """
         snap = self.snapshot()
-        digest = identity_digest(*identifier)
-        incoming = batch.select(*(keep or batch.columns), digest.alias(DIGEST), partition.cast("int").alias(PART)).select(
-            "*", F.when(F.col(DIGEST).isNotNull(), F.xxhash64(DIGEST)).alias(INDEX_HASH)
-        )
+        payload = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct("*")
+        incoming = batch.select(
+            F.col(self.order).alias(ORDER), payload.alias(ROW), identity_digest(*identifier).alias(DIGEST), partition.cast("int").alias(PART)
+        ).select("*", F.when(F.col(DIGEST).isNotNull(), F.xxhash64(DIGEST)).alias(INDEX_HASH))
         hit = self.affected(incoming, snap)
-        known = incoming.where(F.col(DIGEST).isNotNull())
+        known, unknown = incoming.where(F.col(DIGEST).isNotNull()), incoming.where(F.col(DIGEST).isNull())
         if (history := self._read("data", snap, hit)) is not None:
-            pool = known.unionByName(history.where(F.col(DIGEST).isNotNull()))
-            unknown = incoming.where(F.col(DIGEST).isNull()).unionByName(history.where(F.col(DIGEST).isNull()))
-        else:
-            pool, unknown = known, incoming.where(F.col(DIGEST).isNull())
-        winners = self._winners(pool)
-        kept = winners.unionByName(unknown.select(winners.columns))
+            known = known.unionByName(history.where(F.col(DIGEST).isNotNull()))
+            unknown = unknown.unionByName(history.where(F.col(DIGEST).isNull()))
+        kept = self._winners(known, slim=keep == [self.order]).unionByName(unknown)
         version = f"__v={snap['version'] + 1:08d}"
         # AQE splits a large partition and joins small ones: no task gets a whole hot day
         kept.hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.root}/data/{version}")
@@ -139,14 +138,12 @@ class MessageStore:
         self._files.write_once(f"{self.root}/manifests/{version[4:]}.json", text)
         return hit
 
-    def _winners(self, pool: DataFrame) -> DataFrame:
-        payload = [c for c in pool.columns if c not in (self.order, DIGEST, INDEX_HASH, PART)]
-        if not payload:  # all fixed width: one hash aggregate with map-side combine
-            return pool.groupBy(DIGEST).agg(
-                F.min(self.order).alias(self.order), F.min_by(PART, self.order).alias(PART), F.min(INDEX_HASH).alias(INDEX_HASH)
-            ).select(self.order, DIGEST, PART, INDEX_HASH)
-        least = pool.groupBy(DIGEST).agg(F.min(self.order).alias(self.order)).select(self.order)
-        return pool.join(least, self.order, "left_semi").select(self.order, *payload, DIGEST, PART, INDEX_HASH)
+    def _winners(self, pool: DataFrame, slim: bool) -> DataFrame:
+        if slim:  # nothing but fixed-width columns: one hash aggregate with map-side combine
+            least = pool.groupBy(DIGEST).agg(F.min(ORDER).alias(ORDER), F.min_by(PART, ORDER).alias(PART), F.min(INDEX_HASH).alias(INDEX_HASH))
+            return least.select(ORDER, F.struct(F.col(ORDER).alias(self.order)).alias(ROW), DIGEST, PART, INDEX_HASH)
+        least = pool.groupBy(DIGEST).agg(F.min(ORDER).alias(ORDER)).select(ORDER)
+        return pool.join(least, ORDER, "left_semi")
 
 
 def merge_in_waves(store: MessageStore, rows: DataFrame, identifier: list[Column], partition: Column, waves: int, keep: list[str] | None = None) -> None:

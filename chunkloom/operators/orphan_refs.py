@@ -114,15 +114,18 @@ def range_orphans(refs: DataFrame, runs: DataFrame, key: str, start: str, count:
     Starts are matched once per distinct (key, start), so repeated references cost
     nothing in the match. A null key refers to nothing that exists: an orphan.
     """
-    asked = refs.where(F.col(start).isNotNull() & (F.col(count) > 0))
-    starts = asked.select(F.col(key).alias("__k"), F.col(start).alias("__s")).distinct()
-    matched = asof_run_end(starts, runs, "__k", "__s", block)
-    joined = asked.join(matched, (F.col(key) == F.col("__k")) & (F.col(start) == F.col("__s")), "left")
-    gone = F.col("run_end").isNull() | (F.col("run_end") < F.col(start)) | (F.col(count) - 1 > F.col("run_end") - F.col(start))
-    return joined.where(gone).select(refs.columns)
+    asked = refs.where(F.col(start).isNotNull() & (F.col(count) > 0)).select(
+        F.col(key).alias("k"), F.col(start).cast("bigint").alias("s"), F.col(count).cast("bigint").alias("c"), F.struct("*").alias("row")
+    )
+    starts = asked.select(F.col("k").alias("mk"), F.col("s").alias("ms")).distinct()
+    matched = asof_run_end(starts, runs, "mk", "ms", block)
+    joined = asked.join(matched, (F.col("k") == F.col("mk")) & (F.col("s") == F.col("ms")), "left")
+    gone = F.col("run_end").isNull() | (F.col("run_end") < F.col("s")) | (F.col("c") - 1 > F.col("run_end") - F.col("s"))
+    return joined.where(gone).select("row.*")
 
 
 def state_orphans(refs: DataFrame, runs: DataFrame, key: str, pos: str, block: int) -> DataFrame:
     """The ``refs`` with a key that isn't present at their position, see ``state_runs``; a null position is before all runs."""
-    matched = asof_run_end(refs.where(F.col(key).isNotNull()), runs, key, pos, block)
-    return matched.where(F.col("run_end").isNull() | (F.col(pos) >= F.col("run_end"))).select(refs.columns)
+    asked = refs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(pos).alias("p"), F.struct("*").alias("row"))
+    matched = asof_run_end(asked, runs, "k", "p", block)
+    return matched.where(F.col("run_end").isNull() | (F.col("p") >= F.col("run_end"))).select("row.*")

@@ -287,8 +287,14 @@ _REGISTERED = f"SELECT * REPLACE ({_t('root')} AS root) FROM manifests QUALIFY r
 _HELD = f"SELECT * FROM (SELECT {_t('hash')} AS h, line_op, pack_id, pack_offset FROM chunk_index QUALIFY row_number() OVER (PARTITION BY {_t('hash')} ORDER BY indexed_at DESC, line_id DESC) = 1) WHERE line_op = 'put'"
 _BASE = f"SELECT {_t('hash')} AS h, pack_id FROM base_chunks"
 _URIS = f"""SELECT manifest_id AS row_id, 'chunkloom:' || lower(root) AS uri FROM manifests UNION ALL SELECT doc_id, url FROM documents UNION ALL SELECT ref_id, 'chunkloom:' || lower(hash) FROM chunk_refs"""
-_CDC = f"""
-WITH RECURSIVE raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents WHERE text <> ''),
+_WHOLE = "SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents"
+_EDITED = "SELECT doc_id, substr(hex(encode(coalesce(text, ''))), 1, 400) || hex('-- inserted --') || substr(hex(encode(coalesce(text, ''))), 401) AS hx FROM documents"
+
+
+def cdc_sql(files: str) -> str:
+    """Chunks of files given as (doc_id, hx): window hashes by lag, cuts by recursion."""
+    return f"""
+WITH RECURSIVE raw AS (SELECT doc_id, hx, len(hx) // 2 AS n FROM ({files}) WHERE hx <> ''),
 gear AS (SELECT b, CAST(('0x' || substr(sha256(unhex(printf('%02x', b))), 1, 8)) AS BIGINT) AS g FROM range(256) t(b)),
 bytes AS (SELECT doc_id, i, g FROM (SELECT doc_id, unnest(range(0, n)) AS i, hx FROM raw) JOIN gear ON b = CAST('0x' || substr(hx, 2 * i + 1, 2) AS INT)),
 hashed AS (SELECT doc_id, i, ({' + '.join(f'coalesce(lag(g, {j}) OVER w, 0) * {1 << j}' for j in range(16))}) & 4294967295 AS h FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -301,6 +307,7 @@ cuts AS (SELECT doc_id, n, s, w, CAST(-1 AS BIGINT) AS ordinal, CAST(0 AS BIGINT
   FROM cuts WHERE b < n)
 SELECT cuts.doc_id, ordinal, a AS file_offset, b - a AS length, sha256(unhex(substr(hx, 2 * a + 1, 2 * (b - a)))) AS hash FROM cuts JOIN raw USING (doc_id) WHERE ordinal >= 0"""
 
+
 SQL = {
     "content_hash": f"SELECT doc_id, sha256(txt) AS hash, 'Hash(' || substr(sha256(txt), 1, 12) || '…)' AS short_form FROM ({_DOCS})",
     "hex_roundtrip": f"""SELECT ref_id, CASE WHEN ok THEN h END AS hash, CASE WHEN ok THEN 32 END AS n_bytes, coalesce(NOT ok, FALSE) AS damaged
@@ -311,7 +318,7 @@ FROM (SELECT ref_id, {_t('hash')} AS h, regexp_full_match({_t('hash')}, '[0-9a-f
     "merkle_proof_steps": f"""{_NODES}, path AS (SELECT n.tree, n.i AS idx, s.level, xor(n.i >> s.level, 1) AS sib, (n.i >> s.level) % 2 = 1 AS sibling_on_left FROM nodes n JOIN (SELECT DISTINCT tree, level FROM nodes) s ON n.tree = s.tree WHERE n.level = 0)
 SELECT p.tree, idx, row_number() OVER (PARTITION BY p.tree, idx ORDER BY p.level) - 1 AS step_no, sibling_on_left, h AS hash FROM path p JOIN nodes n ON p.tree = n.tree AND p.level = n.level AND p.sib = n.i""",
     "merkle_verify_all": "SELECT doc_id, TRUE AS holds, FALSE AS forged_holds FROM documents",
-    "cdc_chunks": _CDC,
+    "cdc_chunks": cdc_sql(_WHOLE),
     "cdc_cover": f"SELECT doc_id, strlen(txt) AS n_bytes, sha256(txt) AS hash, TRUE AS in_bounds FROM ({_DOCS}) WHERE txt <> ''",
     "fixed_pieces_sha1": f"WITH {_PIECES.format(docs=_DOCS, size=PIECE)} SELECT tree, piece, len(hx) // 2 AS length, sha1(unhex(hx)) AS sha1 FROM pieces",
     "piece_verify": f"""WITH own AS (WITH {_PIECES.format(docs=_DOCS, size=PIECE)} SELECT * FROM pieces), want AS (WITH {_PIECES.format(docs=_DOCS + " WHERE coalesce(http_status <> 404, TRUE)", size=PIECE)} SELECT * FROM pieces)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkloom.plans.store_queries import _ARRIVED, _BASE, _DOCS, _HELD, _t
+from chunkloom.plans.store_queries import _ARRIVED, _BASE, _DOCS, _EDITED, _HELD, _WHOLE, _t, cdc_sql
 
 _R = f"(SELECT * REPLACE ({_t('server')} AS server, {_t('client')} AS client, {_t('sig')} AS sig) FROM receipts)"
 _EVENTS = f"""(SELECT server AS peer, 'credited' AS kind, bytes FROM {_R} WHERE sig_ok UNION ALL SELECT server, 'received', bytes FROM {_R} WHERE transport = 'direct'
@@ -132,6 +132,7 @@ LEFT JOIN (SELECT {_t('root')} AS r, arg_min(site, ref_id) AS provider FROM chun
     "fec_need": f"SELECT manifest_id, {_NEED} AS need, CAST(ceil({_NEED} / 128.0) AS BIGINT) AS n_rounds FROM manifests",
     "fec_symbols": f"""SELECT doc_id, esi, sha256(unhex(rpad(substr(hex(encode(txt)), 2 * 1200 * esi + 1, 2400), 2400, '0'))) AS payload_hash FROM (SELECT doc_id, txt, unnest([1, 2]) AS esi FROM ({_DOCS})) WHERE strlen(txt) > 1200 * esi""",
     "fec_roundtrip": f"SELECT doc_id, TRUE AS recovered FROM ({_DOCS}) WHERE txt <> ''",
+    "dedup_scenario": f"SELECT count(*) AS total_chunks, count(DISTINCT hash) AS unique_chunks, 100.0 * (1 - count(DISTINCT hash) / count(*)) AS dedup_pct FROM (SELECT hash FROM ({cdc_sql(_WHOLE)}) UNION ALL SELECT hash FROM ({cdc_sql(_EDITED)}))",
     "permanence": f"SELECT seeder, count(*) AS n_chunks, count(*) FILTER (survives) AS n_surviving FROM {_PERM} GROUP BY seeder",
     "free_riding": _long("choke_off", _ride(0, None), _RIDE) + " UNION ALL " + _long("choke_on", _ride(0, 0), _RIDE),
     "receipt_trust": _long("vouched", _ride(10_000_000, 0), _RIDE) + " UNION ALL " + _long("cold", _ride(0, 0), _RIDE),
