@@ -31,14 +31,14 @@ def membership(df: DataFrame, period: str, ident: str, dims: list[str], groups:
     Null identifiers are not counted; null groups are groups; a null period is a period.
     """
     spark = df.sparkSession
-    names = [f"__d{i}" for i in range(len(dims))]
-    fields = ", ".join(f"{n} string" for n in names) + ", __g int"
+    names, own = [f"d{i}" for i in range(len(dims))], [f"own{i}" for i in range(len(dims))]
+    fields = ", ".join(f"{n} string" for n in names) + ", grp int"
     known = spark.createDataFrame([(*g, i) for i, g in enumerate(groups)], fields)
-    match = reduce(lambda a, b: a & b, (F.col(d).eqNullSafe(F.col(n)) for d, n in zip(dims, names, strict=True)))
-    rows = df.where(F.col(ident).isNotNull()).select(F.col(period).alias("period"), F.col(ident).alias("id"), *dims)
-    marked = rows.join(known, match, "left").select("period", "id", "__g")
+    match = reduce(lambda a, b: a & b, (F.col(d).eqNullSafe(F.col(n)) for d, n in zip(own, names, strict=True)))
+    rows = df.where(F.col(ident).isNotNull()).select(F.col(period).alias("period"), F.col(ident).alias("id"), *(F.col(d).alias(o) for d, o in zip(dims, own, strict=True)))
+    marked = rows.join(known, match, "left").select("period", "id", "grp")
     bits = [
-        F.when(F.floor(F.col("__g") / WORD) == w, F.expr(f"shiftleft(1L, __g % {WORD})")).otherwise(F.lit(0).cast("bigint"))
+        F.when(F.floor(F.col("grp") / WORD) == w, F.expr(f"shiftleft(1L, grp % {WORD})")).otherwise(F.lit(0).cast("bigint"))
         for w in range(-(-max(1, len(groups)) // WORD))
     ]
     return marked.groupBy("period", "id").agg(*(F.bit_or(b).alias(f"w{w}") for w, b in enumerate(bits)))

@@ -83,10 +83,10 @@ def pack(sizes: DataFrame, ident: str, capacity: int, n_items: int, group_items:
     repeated: rows are then still packed, each for itself.
     """
     groups = max(1, -(-n_items // group_items))
-    dealt = sizes.select("*", F.pmod(F.xxhash64(ident), F.lit(groups)).alias("grp"))
+    dealt = sizes.select(F.col(ident).cast("bigint").alias("item"), "n_tokens", F.pmod(F.xxhash64(ident), F.lit(groups)).alias("grp"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident, kind="stable")
+        pdf = pdf.sort_values("item", kind="stable")
         tokens = pdf["n_tokens"].to_numpy(np.int64)
         pieces = np.maximum(1, -(-tokens // capacity))
         row = np.repeat(np.arange(len(pdf)), pieces)
@@ -95,16 +95,16 @@ def pack(sizes: DataFrame, ident: str, capacity: int, n_items: int, group_items:
         some = np.flatnonzero(size > 0)
         where = np.full(len(row), -1, np.int64)
         where[some] = first_fit_decreasing(size[some], capacity)
-        out = pd.DataFrame({ident: pdf[ident].to_numpy()[row], "piece": piece, "first_token": piece * capacity, "n_tokens": size, "bin": where})
+        out = pd.DataFrame({"item": pdf["item"].astype("Int64").array[row], "piece": piece, "first_token": piece * capacity, "n_tokens": size, "bin": where})
         out["container_tokens"] = out.groupby("bin")["n_tokens"].transform("sum")
         out["slot"] = out.groupby("bin").cumcount()
         out["grp"] = pdf["grp"].iloc[0]
         return out
 
-    kept = f"{ident} bigint, piece bigint, first_token bigint, n_tokens bigint, bin bigint, container_tokens bigint, slot bigint, grp bigint"
+    kept = "item bigint, piece bigint, first_token bigint, n_tokens bigint, bin bigint, container_tokens bigint, slot bigint, grp bigint"
     packed = dealt.groupBy("grp").applyInPandas(fill, kept)
     there = F.col("bin") >= 0
     return packed.select(
         F.when(there, F.col("grp") * F.lit(1 << 32) + F.col("bin")).alias("container_id"), F.when(there, F.col("slot")).alias("slot"),
-        ident, "piece", "first_token", "n_tokens", F.when(there, F.col("container_tokens")).alias("container_tokens"),
+        F.col("item").alias(ident), "piece", "first_token", "n_tokens", F.when(there, F.col("container_tokens")).alias("container_tokens"),
     )
