@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chunkloom.functions.keys import identity_digest
 
@@ -83,7 +83,7 @@ class MessageStore:
         ]
         if not chosen:
             return None
-        return self.spark.read.option("basePath", f"{self.root}/{kind}").schema(snap[kind]).parquet(*chosen).drop("__v")
+        return self.spark.read.option("basePath", f"{self.root}/{kind}").schema(T.StructType.fromJson(snap[kind])).parquet(*chosen).drop("__v")
 
     def rows(self) -> DataFrame | None:
         """The current winners; None before the first commit of a row."""
@@ -121,12 +121,10 @@ class MessageStore:
         new = [n.partition("=")[2] for n in self._files.names(f"{self.root}/data/{version}") if "=" in n]
         if not new and not hit:
             return []
-        schema = {
-            "data": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema),
-            "index": f"{INDEX_HASH} bigint, {PART} int",
-        }
+        index = T.StructType([T.StructField(INDEX_HASH, T.LongType()), T.StructField(PART, T.IntegerType())])
+        schema = {"data": kept.schema.jsonValue(), "index": index.jsonValue()}
         if new:
-            written = self.spark.read.option("basePath", f"{self.root}/data/{version}").schema(schema["data"]).parquet(f"{self.root}/data/{version}")
+            written = self.spark.read.option("basePath", f"{self.root}/data/{version}").schema(kept.schema).parquet(f"{self.root}/data/{version}")
             written.where(F.col(INDEX_HASH).isNotNull()).select(INDEX_HASH, PART).write.partitionBy(PART).parquet(f"{self.root}/index/{version}")
         indexed = {n.partition("=")[2] for n in self._files.names(f"{self.root}/index/{version}")}
         for p in set(new) - indexed:  # a partition of unrecognisable rows only: an empty index folder
