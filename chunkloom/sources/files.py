@@ -13,16 +13,33 @@ from chunkloom.operators.protocol import parsed_request
 from chunkloom.operators.store import index_line, parse_index_lines
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Relative paths of files without bytes, which the binary source leaves out; a listing, as the source makes one itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(path).toUri()
+    found, out = system.listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            out.append(root.relativize(status.getPath().toUri()).getPath().lstrip("/"))
+    return [p[len(root.getPath()) :].lstrip("/") if p.startswith(root.getPath()) else p for p in out]
+
+
 def scan_tree(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, size, data)`` of all files below a folder; paths are relative with ``/``; order by ``path`` as bytes.
 
-    Nothing is read until a column of it is asked for: sizes come from the listing.
-    A file is one row, so it may have 2 GB at most.
+    Sizes come from the listing; bytes are read only if asked for. A file is one row,
+    so it may have 2 GB at most.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder if ":" in folder.split("/")[0] else "file:" + os.path.abspath(folder)
-    relative = F.ltrim(F.lit("/"), F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(root.rstrip("/")) + 1, 2147483647))
-    return files.select(F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("content").alias("data"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    # the source gives paths as URIs: undo their escapes, but a plus is a plus
+    relative = F.ltrim(F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(root) + 1, 2147483647), F.lit("/"))
+    some = files.select(F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("content").alias("data"))
+    empty = spark.createDataFrame([(p, 0, b"") for p in _empty_files(spark, folder)], "path string, size bigint, data binary")
+    return some.unionByName(empty)
 
 
 def read_containers(spark: SparkSession, folder: str, pattern: str = "*.cklm") -> DataFrame:
