@@ -35,9 +35,8 @@ def scan_tree(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    # the source gives paths as URIs: undo their escapes, but a plus is a plus
     relative = F.ltrim(F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(root) + 1, 2147483647), F.lit("/"))
-    some = files.select(F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("content").alias("data"))
+    some = files.select(relative.alias("path"), F.col("length").alias("size"), F.col("content").alias("data"))
     empty = spark.createDataFrame([(p, 0, b"") for p in _empty_files(spark, folder)], "path string, size bigint, data binary")
     return some.unionByName(empty)
 
