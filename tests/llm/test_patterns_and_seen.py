@@ -88,7 +88,11 @@ def test_verified_answers_match_brute_force_even_with_a_bad_filter(spark, seed,
             seen.add(k)
     df = spark.createDataFrame(data, "at bigint, key string").select("at", F.encode("key", "UTF-8").alias("key"))
     history = spark.createDataFrame(base, "key string").select(F.encode("key", "UTF-8").alias("key"))
-    got = sb.not_seen(df, "key", "at", history, "key", len(data), block_rows=500, shard_keys=1000, capacity=4, error=error).where("at >= 0").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)  # many calls of the chain
+    try:
+        got = sb.not_seen(df, "key", "at", history, "key", len(data), block_rows=500, shard_keys=1000, capacity=4, error=error).where("at >= 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["at"] for r in got} == want
     if error > 0.1:  # the exact check had something to put right
         assert any(r["missed"] for r in got)
