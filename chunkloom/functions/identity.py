@@ -7,6 +7,7 @@ never an error.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 from pyspark.sql import functions as F, types as T
 
@@ -55,6 +56,27 @@ def _times(k: int, p: tuple) -> tuple:
     return q
 
 
+@lru_cache(maxsize=1)
+def _base_table() -> list[list[tuple]]:
+    """Multiples 0 to 15 of the base point times 16**i for each of 64 digits."""
+    table, p = [], BASE
+    for _ in range(64):
+        row = [ZERO]
+        for _ in range(15):
+            row.append(_add(row[-1], p))
+        table.append(row)
+        p = _add(row[-1], p)
+    return table
+
+
+def _times_base(k: int) -> tuple:
+    q = ZERO
+    for row in _base_table():
+        q = _add(q, row[k & 15])
+        k >>= 4
+    return q
+
+
 def _same(p: tuple, q: tuple) -> bool:
     return (p[0] * q[2] - q[0] * p[2]) % P == 0 and (p[1] * q[2] - q[1] * p[2]) % P == 0
 
@@ -75,13 +97,16 @@ def _small(p: tuple) -> bool:
     return _same(_times(8, p), ZERO)
 
 
-def _expand(seed: bytes) -> tuple[int, bytes]:
+@lru_cache(maxsize=10_000)
+def _expand(seed: bytes) -> tuple[int, bytes, bytes]:
+    """Secret number, prefix and public key of a seed."""
     h = hashlib.sha512(seed).digest()
-    return int.from_bytes(h[:32], "little") & ((1 << 254) - 8) | (1 << 254), h[32:]
+    a = int.from_bytes(h[:32], "little") & ((1 << 254) - 8) | (1 << 254)
+    return a, h[32:], _pack(_times_base(a))
 
 
 def public_key(seed: bytes) -> bytes:
-    return _pack(_times(_expand(seed)[0], BASE))
+    return _expand(seed)[2]
 
 
 def _scalar(*parts: bytes) -> int:
@@ -89,10 +114,9 @@ def _scalar(*parts: bytes) -> int:
 
 
 def sign(seed: bytes, message: bytes) -> bytes:
-    a, prefix = _expand(seed)
-    key = _pack(_times(a, BASE))
+    a, prefix, key = _expand(seed)
     r = _scalar(prefix, message)
-    point = _pack(_times(r, BASE))
+    point = _pack(_times_base(r))
     return point + ((r + _scalar(point, key, message) * a) % ORDER).to_bytes(32, "little")
 
 
@@ -104,7 +128,7 @@ def verify(key: bytes | None, message: bytes | None, signature: bytes | None) ->
     own, r = _unpack(key), _unpack(signature[:32])
     if s >= ORDER or own is None or r is None or _small(own) or _small(r):
         return False
-    return _same(_times(s, BASE), _add(r, _times(_scalar(signature[:32], key, message), own)))
+    return _same(_times_base(s), _add(r, _times(_scalar(signature[:32], key, message), own)))
 
 
 @F.udf(T.BinaryType(), useArrow=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.operators.prefix import dense_index
 
@@ -101,11 +101,14 @@ def last_state(log: DataFrame, keys: list[str], order: list[str], op: str) -> Da
 
 
 def ordered_union(first: DataFrame, second: DataFrame, group: str, peer: str, order: str) -> DataFrame:
-    """``(group, peer, nr)``: the distinct peers of the first list, then those of the second not already there."""
-    both = first.select(group, peer, F.lit(0).alias("__l"), F.col(order).alias("__o")).unionByName(second.select(group, peer, F.lit(1).alias("__l"), F.col(order).alias("__o")))
-    place = both.where(F.col(peer).isNotNull()).groupBy(group, peer).agg(F.min(F.struct("__l", "__o")).alias("__p"))
-    w = Window.partitionBy(group).orderBy("__p", peer)
-    return place.select(group, peer, F.row_number().over(w).alias("nr"))
+    """``(group, peer, nr)``: the distinct peers of the first list, then those of the second not already there.
+
+    ``order`` is a whole number below 2**61, unique within a list.
+    """
+    later = F.lit(2**61)
+    both = first.select(group, peer, F.col(order).cast("bigint").alias("__o")).unionByName(second.select(group, peer, (F.col(order).cast("bigint") + later).alias("__o")))
+    place = both.where(F.col(peer).isNotNull()).groupBy(group, peer).agg(F.min("__o").alias("__o"))
+    return dense_index(place, group, "__o", "nr").select(group, peer, (F.col("nr") + 1).alias("nr"))
 
 
 # The tracker.

@@ -45,7 +45,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm_path)
+    fs.deleteOnExit(jvm_path)  # results may still be read until the driver ends
+    return path
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
@@ -54,5 +59,5 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     The files outlive lost executors, unlike cached blocks.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
