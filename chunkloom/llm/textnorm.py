@@ -18,14 +18,18 @@ APOSTROPHES = "'’‘ʼ´`"
 #: Letters that NFKD leaves whole, and Cyrillic and Greek letters that look like Latin ones, as fixed values.
 PLAIN = {"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h", "ß": "ss"}
 LOOKALIKES = dict(zip("авсеԁһіјкмнорԛѕтухѵԝгαεικνορτυχ", "abcedhijkmhopqstyxvwraeiknoptux", strict=True))
+#: Letters of Polish words as they look when read as Western, fixed values of both usual charsets.
+POLISH = str.maketrans("³¹±¶¼¿œæêñ", "łąąśźżśćęń")
 
+_POLISH_WORD = re.compile(r"(?:[^\W\d_]|[¿])*[³¹±¶¼](?:[^\W\d_]|[³¹±¶¼¿])*")
+_POLISH_SIGN = re.compile("[³¹±¶¼]")
 _HIGH = re.compile(r"[\x80-￿]+")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _TAG_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|sup|sub|font|mark|small|wbr|code|tt|s)(?:\s[^<>]*)?/?>", re.I)
 _INLINE_MARKS = re.compile(r"\[/?(?:b|i|u|s|em|url|quote|color|size|font)(?:=[^\]\n]{0,80})?\]|\\(?:emph|text\w{0,4}|underline)(?=\{)", re.I)
 _TAG = re.compile(r"<[a-z/!][^<>]{0,300}>", re.I)
 _BROKEN_LINE = re.compile(r"([^\W\d_])[-‐­¬][ \t]*\r?\n[ \t]*([^\W\d_])")
-_MARKS = re.compile(r"[ÃÂÄÅÐÑâĂĹËÎÏ]|[À-ÿ]{3}|[ТРСГ][Ѐ-џ\u0080-¿‘-›]")
+_MARKS = re.compile(r"[ÃÂÄÅÐÑâĂĹËÎÏ]|[À-ÿ£]{3}|[ТРСГ][Ѐ-џ\u0080-¿‘-›]")
 
 
 def _as_bytes(run: str, charset: str) -> bytes | None:
@@ -49,11 +53,16 @@ def _undo(run: str) -> str:
             return raw.decode("utf-8")
         except UnicodeDecodeError:
             pass
-    if len(run) >= 3 and all("À" <= c <= "ÿ" or c in "¨¸" for c in run):  # Cyrillic read as Western
-        return run.encode("latin-1").decode("cp1251")
+    if len(run) >= 3 and all("À" <= c <= "ÿ" or c in "¨¸£³" for c in run):  # Cyrillic read as Western
+        # of the two usual charsets the one that gives more small letters; in the other they'd be capitals
+        return max((run.encode("latin-1").decode(c) for c in ("cp1251", "koi8-r")), key=lambda t: sum("а" <= x <= "ё" for x in t))
     return run
 
 
+def _polish(m: re.Match) -> str:
+    return m.group().translate(POLISH) if any(c.isascii() for c in m.group()) else m.group()
+
+
 class Repairer:
     """``repair`` with a memory of the runs already seen; a null text stays null."""
 
@@ -71,7 +80,11 @@ class Repairer:
         return done
 
     def __call__(self, text: str) -> str:
-        return text if text.isascii() or not _MARKS.search(text) else _HIGH.sub(self._fix, text)
+        if text.isascii():
+            return text
+        if _MARKS.search(text):
+            text = _HIGH.sub(self._fix, text)
+        return _POLISH_WORD.sub(_polish, text) if _POLISH_SIGN.search(text) else text
 
 
 def plain_layout(text: str) -> str:

@@ -105,6 +105,8 @@ def test_repair_and_fold():
             except UnicodeDecodeError:
                 continue
             assert repair(damaged) == t
+    assert repair("нашёл".encode("koi8-r").decode("latin-1")) == "нашёл" and repair("żałosny jesienią".encode("iso8859-2").decode("latin-1")) == "żałosny jesienią"
+    assert repair("żałosny jesienią".encode("cp1250").decode("cp1252")) == "żałosny jesienią" and repair("5 m² ±3") == "5 m² ±3" and repair("¿Cuándo? œuvre") == "¿Cuándo? œuvre"
     assert repair("Äîðîãîé ÷åëîâåê") == "Дорогой человек"
     assert fold("Müller") == fold("MUELLER") == fold("müller") == "muller" and fold("ﬁsh") == "fish" and fold("tenant’s") == "tenants" and fold("Łódź") == "lodz"
     assert fold("сlоwn") == "clown" and fold("слон") == "слон" and skeleton("camión") == "camin" and plain_layout("a<br>b &amp; fro-\nmage") == "a b & fromage"
