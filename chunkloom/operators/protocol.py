@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Commands and their required fields.
-REQUIRED = {"fetch": ["uri", "out"], "torrent": ["input"], "provide": ["nptp"], "unprovide": ["root"], "status": [], "shutdown": []}
-FIELDS = ["uri", "out", "torrent", "data", "path", "input", "nptp", "root"]
+# Commands and their required fields (a container is given as ``manifest``).
+REQUIRED = {"fetch": ["uri", "out"], "torrent": ["input"], "provide": ["manifest"], "unprovide": ["root"], "status": [], "shutdown": []}
+FIELDS = ["uri", "out", "torrent", "data", "path", "input", "manifest", "root"]
 LINE_LIMIT, PROGRESS_MS, WARN_MS = 8 << 20, 100, 600_000
 
 _ID = r'"id"\s*:\s*(\d{1,19})\s*[,}]'
