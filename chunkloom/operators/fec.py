@@ -22,20 +22,19 @@ SYMBOL, REPAIR, BATCH = 1200, 64, 128
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms and powers of the generator 2 modulo x^8 + x^4 + x^3 + x^2 + 1."""
-    exp, log, x = np.zeros(512, np.uint8), np.zeros(256, np.int64), 1
+    """All products and all inverses modulo x^8 + x^4 + x^3 + x^2 + 1, from the powers of the generator 2."""
+    exp, log, x = np.zeros(510, np.uint8), np.zeros(256, np.int64), 1
     for i in range(255):
         exp[i], log[x] = x, i
         x = (x << 1) ^ (0x11D if x & 0x80 else 0)
-    exp[255:510] = exp[:255]
-    return log, exp
+    exp[255:] = exp[:255]
+    product = exp[log[:, None] + log[None, :]]
+    product[0], product[:, 0] = 0, 0
+    return product, exp[255 - log]
 
 
 def _times(a: int, v: np.ndarray) -> np.ndarray:
-    if a == 0:
-        return np.zeros_like(v)
-    log, exp = _tables()
-    return np.where(v == 0, 0, exp[log[a] + log[v]]).astype(np.uint8)
+    return _tables()[0][a][v]
 
 
 def config_for(size: int, symbol: int = SYMBOL) -> bytes:
@@ -67,7 +66,7 @@ def decode(size: int, symbols: list[tuple[int, bytes]], symbol: int = SYMBOL) ->
     if size == 0:
         return b""
     k = -(-size // symbol)
-    log, exp = _tables()
+    inverses = _tables()[1]
     rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by pivot column
     for esi, payload in symbols:
         if len(payload) != symbol:
@@ -87,7 +86,7 @@ def decode(size: int, symbols: list[tuple[int, bytes]], symbol: int = SYMBOL) ->
         pivots = np.flatnonzero(coef)
         if len(pivots):
             col = int(pivots[0])
-            inverse = int(exp[255 - log[coef[col]]])
+            inverse = int(inverses[coef[col]])
             rows[col] = (_times(inverse, coef), _times(inverse, value))
         if len(rows) == k:
             break

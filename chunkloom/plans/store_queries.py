@@ -325,6 +325,11 @@ SELECT p.tree, idx, row_number() OVER (PARTITION BY p.tree, idx ORDER BY p.level
 SELECT tree, count(*) AS n_pieces, count(*) FILTER (coalesce(own.hx <> want.hx, TRUE)) AS n_bad, count(*) FILTER (coalesce(own.hx <> want.hx, TRUE)) = 0 AS verified FROM own FULL JOIN want USING (tree, piece) GROUP BY tree""",
     "manifest_files": f"""SELECT tree, doc_id, strlen(txt) AS size, CAST(sum(strlen(txt)) OVER w AS BIGINT) - strlen(txt) AS base, CAST(count(*) FILTER (txt <> '') OVER w AS BIGINT) - CAST(txt <> '' AS BIGINT) AS chunk_start, CAST(txt <> '' AS BIGINT) AS chunk_count
 FROM ({_DOCS}) WINDOW w AS (PARTITION BY tree ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "manifest_layout": f"""WITH RECURSIVE docs AS ({_DOCS}), ch AS MATERIALIZED (SELECT tree, c.doc_id, ordinal, length, hash FROM ({cdc_sql(_WHOLE)}) c JOIN docs ON docs.doc_id = c.doc_id),
+{_levels("SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id, ordinal) - 1 AS idx, hash AS h FROM ch")},
+n AS (SELECT docs.tree, docs.doc_id, count(hash) AS chunk_count, CAST(coalesce(sum(length), 0) AS BIGINT) AS size FROM docs LEFT JOIN ch ON docs.doc_id = ch.doc_id GROUP BY 1, 2)
+SELECT n.tree, doc_id, size, CAST(sum(size) OVER w AS BIGINT) - size AS base, CAST(sum(chunk_count) OVER w AS BIGINT) - chunk_count AS chunk_start, chunk_count, coalesce(l[1], {_SHA_EMPTY}) AS root
+FROM n LEFT JOIN (SELECT tree, l FROM lists WHERE len(l) = 1) r ON n.tree = r.tree WINDOW w AS (PARTITION BY n.tree ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "root_consistency": f"""WITH RECURSIVE {_levels(f"SELECT root AS tree, ordinal AS idx, CASE WHEN regexp_full_match(hash, '[0-9a-f]{{64}}') THEN hash ELSE sha256(coalesce(hash, '')) END AS h FROM ({_ARRIVED})")}
 SELECT root, l[1] AS folded, coalesce(l[1] = root, FALSE) AS is_consistent FROM ({_REGISTERED}) LEFT JOIN (SELECT * FROM lists WHERE len(l) = 1) ON tree = root""",
     "manifest_uri": f"""SELECT row_id, uri, CASE WHEN regexp_full_match(uri, 'chunkloom:[0-9a-fA-F]{{64}}') THEN lower(substr(uri, 11)) END AS root,

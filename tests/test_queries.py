@@ -50,7 +50,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_all_sql_belongs_to_a_query():
-    assert set(core("SQL")) <= set(core("QUERIES")) and not set(core("QUERIES")) - set(core("SQL")) - {"manifest_layout"}
+    assert set(core("SQL")) == set(core("QUERIES"))
 
 
 @pytest.fixture(scope="module")
