@@ -29,10 +29,12 @@ def gear_table() -> np.ndarray:
 
 def window_hashes(data: np.ndarray) -> np.ndarray:
     """Per position the hash of the bytes up to and with it: sum of gear[b[i-j]] * 2**j for j < WINDOW, mod 2**32."""
-    gear = gear_table()[data]
-    out = np.zeros(len(data), np.uint32)
-    for j in range(min(WINDOW, len(data))):
-        out[j:] += gear[: len(data) - j] << np.uint32(j)
+    out = gear_table()[data]
+    step = 1
+    while step < WINDOW:  # the sum over 2n bytes from two sums over n
+        wider = out.copy()
+        wider[step:] += out[:-step] << np.uint32(step) if step < len(out) else 0
+        out, step = wider, 2 * step
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,16 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@lru_cache
+def _own_base(app: str) -> str:
+    """One temporary folder per application, for tests."""
+    return "file://" + tempfile.mkdtemp(prefix=f"chunkloom-{app}-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
     Clusters name a folder there that all executors reach. Only where the
     setting is absent, as in local tests, a temporary folder is set.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_base(spark.sparkContext.applicationId)
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
