@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,30 @@ def build_session(app: str = "chunkloom", master: str = "local[8]", **conf: str)
     return spark
 
 
+@lru_cache
+def _shipped(app: str) -> str:
+    """A zip of this package's sources, made once per application."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="chunkloom-code-"), "chunkloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    return path
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the package to Python workers that couldn't import it otherwise, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        spark.sparkContext.addPyFile(_shipped(app))
+
+
+_SHIPPED: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table (a file or a folder of files) of a data set."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -16,3 +16,24 @@ def test_materialised_tables_keep_rows_and_types(spark):
     got = session.materialize(df, "t")
     assert got.schema == df.schema and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
     assert session.materialize(df.limit(0), "t").count() == 0
+
+
+def test_workers_get_the_package(spark, tmp_path):
+    """From another folder, without the package on the path of workers."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "import __spark_entry__ as e\n"
+        "from chunkloom.session import build_session\n"
+        "s = build_session('ship', 'local[2]', spark__driver__memory='1g')\n"
+        "print('ROWS', e.queries()['cdc_chunks'](s, sys.argv[2]).count())\n"
+    )
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        return
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.abspath(session.__file__))), data], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
