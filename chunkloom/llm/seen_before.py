@@ -17,7 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from chunkloom.session import materialize
+from chunkloom.sources.state import load_state, save_state
 
 #: First layer: keys, and error rate; further layers grow and tighten geometrically.
 FIRST_CAPACITY, FIRST_ERROR, GROWTH, TIGHTENING = 1 << 16, 5e-4, 2, 0.5
@@ -70,6 +74,23 @@ class BloomChain:
     def __init__(self, capacity: int = FIRST_CAPACITY, error: float = FIRST_ERROR):
         self.layers = [BloomLayer(capacity, error)]
 
+    def rows(self) -> list[dict]:
+        """The layers as rows, to be kept between batches."""
+        return [
+            {"layer": i, "capacity": x.capacity, "error": x.error, "held": x.held, "bits_set": x.bits_set, "words": x.words.tobytes()}
+            for i, x in enumerate(self.layers)
+        ]
+
+    @classmethod
+    def of_rows(cls, rows: list[dict], capacity: int, error: float) -> BloomChain:
+        """The chain kept by ``rows``; a new one for none."""
+        chain = cls(capacity, error)
+        for i, r in enumerate(sorted(rows, key=lambda r: r["layer"])):
+            layer = BloomLayer(int(r["capacity"]), float(r["error"]))
+            layer.words, layer.held, layer.bits_set = np.frombuffer(bytes(r["words"]), np.uint64).copy(), int(r["held"]), int(r["bits_set"])
+            chain.layers[i:] = [layer]
+        return chain
+
     @property
     def bound(self) -> float:
         """Upper bound of the false-positive rate so far."""
@@ -159,3 +180,45 @@ def not_seen(
     before = history.where(F.col(history_key).isNotNull()).select(F.col(history_key).alias("key"), F.lit(-1).cast("bigint").alias("at")).distinct()
     firsts = before.unionByName(first_in_block(rows, key, order, block_rows))
     return verified_new(chain_answers(firsts, shards, capacity, error))
+
+
+STATE = "shard int, layer int, capacity bigint, error double, held bigint, bits_set bigint, words binary"
+
+
+class SeenFilter:
+    """A filter that is kept in a folder and asked batch by batch; memory of a task is one shard's chain and rows.
+
+    The number of shards is fixed with the first batch. Answers "not seen" are always
+    right; "seen" is wrong with a rate of at most ``error_bound(error)``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, shards: int, capacity: int = FIRST_CAPACITY, error: float = FIRST_ERROR):
+        self.spark, self.folder, self.shards, self.capacity, self.error = spark, folder, shards, capacity, error
+
+    def state(self) -> DataFrame:
+        """The chains' layers by shard."""
+        return load_state(self.spark, self.folder, STATE)
+
+    def ask(self, batch: DataFrame, key: str, order: str) -> DataFrame:
+        """``(order, seen)`` of every row of a batch, in order of arrival; its keys are then known. Null keys are not seen."""
+        shards, capacity, error = self.shards, self.capacity, self.error
+        rows = batch.select(F.col(order).cast("bigint").alias("at"), F.col(key).cast("binary").alias("key"))
+        firsts = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("at").alias("at"))
+        asked = firsts.select("at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(77), "key").alias("h2")).withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int"))
+
+        def step(own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+            shard = int((own if len(own) else kept)["shard"].iloc[0])
+            chain = BloomChain.of_rows(kept.to_dict("records"), capacity, error)
+            own = own.sort_values("at")
+            seen = chain.seen(own["h1"].to_numpy(np.int64).view(np.uint64), own["h2"].to_numpy(np.int64).view(np.uint64)) if len(own) else np.zeros(0, bool)
+            answers = pd.DataFrame({"shard": shard, "at": own["at"].to_numpy(np.int64), "seen": seen})
+            return pd.concat([answers, pd.DataFrame(chain.rows()).assign(shard=shard)], ignore_index=True)[out]
+
+        out = ["shard", "at", "seen", "layer", "capacity", "error", "held", "bits_set", "words"]
+        told = asked.groupBy("shard").cogroup(self.state().groupBy("shard")).applyInPandas(step, "shard int, at bigint, seen boolean, layer int, capacity bigint, error double, held bigint, bits_set bigint, words binary")
+        done = materialize(told, "asked")  # once: the new state and the answers come from the same run
+        save_state(done.where(F.col("layer").isNotNull()).select([f.split()[0] for f in STATE.split(", ")]), self.folder)
+        first = done.where(F.col("layer").isNull()).select(F.col("at").alias("first_at"), "seen")
+        # a key's later rows in the batch have been seen in it
+        met = rows.join(first, F.col("at") == F.col("first_at"), "left")
+        return met.select(F.col("at").alias(order), (F.col("key").isNotNull() & F.coalesce("seen", F.lit(True))).alias("seen"))

@@ -102,3 +102,37 @@ def test_empty_history_and_rows(spark):
     none = spark.createDataFrame([], "at bigint, key binary")
     assert sb.not_seen(none, "key", "at", none, "key", 0).count() == 0
     assert sb.error_bound(0.001) == 0.002
+
+
+def test_a_kept_filter_answers_batch_by_batch(spark, tmp_path):
+    rng = random.Random(9)
+    kept = sb.SeenFilter(spark, str(tmp_path / "f"), shards=3, capacity=20, error=0.01)
+    known, wrong, asked = set(), 0, 0
+    for batch in range(4):
+        data = [(batch * 1000 + i, rng.choice([None, "hot", *map(str, range(800))])) for i in rng.sample(range(1000), 300)]
+        got = {r["at"]: r["seen"] for r in kept.ask(spark.createDataFrame(data, "at bigint, seen string"), "seen", "at").collect()}
+        assert len(got) == len(data)
+        for i, k in sorted(data):
+            if k is None:
+                assert not got[i]
+                continue
+            asked += k not in known
+            if k in known:
+                assert got[i]  # never missed
+            else:
+                wrong += got[i]
+            known.add(k)
+    assert wrong <= 0.02 * asked + 3
+    layers = kept.state().groupBy("shard").count().collect()
+    assert len(layers) == 3 and all(r["count"] > 1 for r in layers)
+    assert kept.ask(spark.createDataFrame([], "at bigint, k string"), "k", "at").count() == 0 and kept.state().count() == sum(r["count"] for r in layers)
+
+
+def test_chains_survive_being_kept():
+    a, b = keys(3000, 5)
+    one, two = sb.BloomChain(100, 0.01), sb.BloomChain(100, 0.01)
+    for i in range(0, 3000, 500):
+        x, y = one.seen(a[i : i + 500], b[i : i + 500]), two.seen(a[i : i + 500], b[i : i + 500])
+        assert (x == y).all()
+        two = sb.BloomChain.of_rows(two.rows(), 100, 0.01)
+    assert [r["held"] for r in one.rows()] == [r["held"] for r in two.rows()] and one.bound == two.bound
