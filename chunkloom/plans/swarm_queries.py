@@ -202,7 +202,8 @@ def _announces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _now(announces: DataFrame):
-    return F.lit(announces.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    # as text, so that no session or driver time zone comes in
+    return F.lit(announces.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp_ntz")
 
 
 def tracker_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
