@@ -90,7 +90,7 @@ def test_verified_answers_match_brute_force_even_with_a_bad_filter(spark, seed,
     history = spark.createDataFrame(base, "key string").select(F.encode("key", "UTF-8").alias("key"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)  # many calls of the chain
     try:
-        got = sb.not_seen(df, "key", "at", history, "key", len(data), block_rows=500, shard_keys=1000, capacity=4, error=error).where("at >= 0").collect()
+        got = sb.not_seen(df, "key", "at", history, "key", len(data), shard_keys=1000, capacity=4, error=error).where("at >= 0").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["at"] for r in got} == want
@@ -98,6 +98,41 @@ def test_verified_answers_match_brute_force_even_with_a_bad_filter(spark, seed,
         assert any(r["missed"] for r in got)
 
 
+def test_answers_depend_on_the_chain(spark, monkeypatch):
+    """Constant answers in its place change the result or raise."""
+    df = spark.createDataFrame([(i, f"k{i % 300}") for i in range(900)], "at bigint, k string").select("at", F.encode("k", "UTF-8").alias("key"))
+    none = spark.createDataFrame([], "key binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        right = {r["at"] for r in sb.not_seen(df, "key", "at", none, "key", 900).collect()}
+        assert right == set(range(300))
+        own = sb.chain_answers
+        monkeypatch.setattr(sb, "chain_answers", lambda *a, **k: own(*a, **k).withColumn("seen", F.lit(False)))
+        assert {r["at"] for r in sb.not_seen(df, "key", "at", none, "key", 900).collect()} > right
+        monkeypatch.setattr(sb, "chain_answers", lambda *a, **k: own(*a, **k).withColumn("seen", F.lit(True)))
+        with pytest.raises(RuntimeError, match="wrong answers"):
+            sb.not_seen(df, "key", "at", none, "key", 900)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shards_follow_the_history(spark):
+    assert sb.shards_for(0, spark) == 4 and sb.shards_for(100 * sb.SHARD_KEYS + 1, spark) == 101
+
+
+def test_only_changed_layers_are_saved(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sb, "WHOLE_AFTER", 3)
+    kept = sb.SeenFilter(spark, str(tmp_path / "f"), shards=2, capacity=50, error=0.01)
+    seen_as = []
+    for turn in range(5):
+        data = [(turn * 200 + i, f"{turn}-{i}") for i in range(200)] + [(5000 + turn, "0-7")]
+        got = {r["at"]: r["seen"] for r in kept.ask(spark.createDataFrame(data, "at bigint, k string"), "k", "at").collect()}
+        seen_as.append(got[5000 + turn])
+        held = {r["shard"]: r["n"] for r in kept.state().groupBy("shard").agg(F.sum("held").alias("n")).collect()}
+        assert 0.95 * 200 * (turn + 1) <= sum(held.values()) <= 200 * (turn + 1)
+    assert seen_as == [True] * 5
+
+
 def test_empty_history_and_rows(spark):
     none = spark.createDataFrame([], "at bigint, key binary")
     assert sb.not_seen(none, "key", "at", none, "key", 0).count() == 0
