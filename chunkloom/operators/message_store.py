@@ -6,8 +6,15 @@ A store keeps one winner per message in partitions (by day of receipt). A merge
    partitions that hold any incoming identifier,
 2. combines only those with the incoming rows,
 3. recomputes one winner per identifier, the row with the lowest order value,
-4. writes the new partitions aside and commits them with one atomic rename of a
-   manifest; untouched partitions keep their files.
+4. writes the new partitions into a folder of this attempt's own name and commits
+   them with one rename of a manifest that must not exist yet; untouched partitions
+   keep their files.
+
+A merge that dies before its commit leaves a folder that no manifest names; it hinders
+nothing and ``sweep`` removes it, as it removes replaced partitions. Of two merges that
+started from the same version the second to commit raises ``Conflict`` and changes
+nothing. The rename without overwriting is atomic on HDFS and the like; an object
+store needs a committer that refuses to overwrite.
 
 The identifier index is a separate narrow data set of the same partitions.
 Winners are found with a partially aggregated minimum, so a message that makes up
@@ -22,7 +29,10 @@ rows repeated under a new order value are surplus; an empty batch commits nothin
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chunkloom.functions.keys import identity_digest
@@ -36,7 +46,7 @@ class _Files:
     """The few file-system calls a commit needs, on whatever Hadoop file system the path names."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm = spark._jvm
+        self._spark, self._jvm = spark, spark._jvm
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, p: str):
@@ -54,14 +64,33 @@ class _Files:
             stream.close()
 
     def write_once(self, path: str, text: str) -> None:
-        """Write aside, then rename: readers see the whole file or none; a second writer fails."""
-        if self._fs.exists(self._path(path)):
-            raise RuntimeError(f"{path}: another merge was committed meanwhile")
-        out = self._fs.create(self._path(path + ".tmp"), True)
+        """Write aside under a name of its own, then rename: readers see the whole file or none; a second writer fails."""
+        aside = f"{path}.{uuid.uuid4().hex}.tmp"
+        out = self._fs.create(self._path(aside), False)
         out.write(bytearray(text.encode()))
         out.close()
-        if not self._fs.rename(self._path(path + ".tmp"), self._path(path)):
-            raise RuntimeError(f"{path}: commit failed")
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self._spark.sparkContext._gateway.new_array(options, 1)
+        how[0] = options.NONE  # fails where the target exists
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri(), self._spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._path(aside), self._path(path), how)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(aside), False)
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                raise Conflict(f"{path}: another merge was committed meanwhile") from None
+            raise
+
+    def delete_older(self, path: str, before_ms: int) -> bool:
+        """Delete a file or folder unless it was changed at or after ``before_ms``."""
+        p = self._path(path)
+        if not self._fs.exists(p) or self._fs.getFileStatus(p).getModificationTime() >= before_ms:
+            return False
+        return self._fs.delete(p, True)
+
+
+class Conflict(RuntimeError):
+    """Another merge was committed since this one read the store; nothing was changed, the batch can be merged again."""
 
 
 class MessageStore:
@@ -115,7 +144,7 @@ class MessageStore:
             known = known.unionByName(history.where(F.col(DIGEST).isNotNull()))
             unknown = unknown.unionByName(history.where(F.col(DIGEST).isNull()))
         kept = self._winners(known, slim=keep == [self.order]).unionByName(unknown)
-        version = f"__v={snap['version'] + 1:08d}"
+        version = f"__v={snap['version'] + 1:08d}-{uuid.uuid4().hex}"
         # AQE splits a large partition and joins small ones: no task gets a whole hot day
         kept.hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.root}/data/{version}")
         new = [n.partition("=")[2] for n in self._files.names(f"{self.root}/data/{version}") if "=" in n]
@@ -133,9 +162,30 @@ class MessageStore:
         for p in new:
             parts[p] = parts.get(p, []) + [version]
         text = json.dumps({"version": snap["version"] + 1, "parts": parts} | schema)
-        self._files.write_once(f"{self.root}/manifests/{version[4:]}.json", text)
+        self._files.write_once(self._manifest(snap["version"] + 1), text)
         return hit
 
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifests/{version:08d}.json"
+
+    def sweep(self, keep: int = 2, grace_s: float = 86_400) -> list[str]:
+        """Delete what the last ``keep`` versions don't name and nobody touched for ``grace_s`` seconds; returns the paths.
+
+        The grace time spares merges under way and readers of older versions.
+        """
+        names = [n for n in self._files.names(f"{self.root}/manifests") if n.endswith(".json")]
+        before = int((time.time() - grace_s) * 1000)
+        used = {(v, p) for n in names[-keep:] for p, vs in json.loads(self._files.read(f"{self.root}/manifests/{n}"))["parts"].items() for v in vs}
+        old = [f"{self.root}/manifests/{n}" for n in self._files.names(f"{self.root}/manifests") if n.endswith(".tmp") or n in names[:-keep]]
+        for kind in ("data", "index"):
+            for v in self._files.names(f"{self.root}/{kind}"):
+                folder = f"{self.root}/{kind}/{v}"
+                if not any(u[0] == v for u in used):
+                    old.append(folder)
+                    continue
+                old += [f"{folder}/{n}" for n in self._files.names(folder) if "=" in n and (v, n.partition("=")[2]) not in used]
+        return [p for p in old if self._files.delete_older(p, before)]
+
     def _winners(self, pool: DataFrame, slim: bool) -> DataFrame:
         if slim:  # nothing but fixed-width columns: one hash aggregate with map-side combine
             least = pool.groupBy(DIGEST).agg(F.min(ORDER).alias(ORDER), F.min_by(PART, ORDER).alias(PART), F.min(INDEX_HASH).alias(INDEX_HASH))

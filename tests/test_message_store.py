@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from chunkloom.operators.message_store import MessageStore, merge_in_waves, surplus
+from chunkloom.operators.message_store import Conflict, MessageStore, merge_in_waves, surplus
 from chunkloom.session import shared_dir
 
 SCHEMA = "id bigint, server string, client string, epoch bigint, sig string, day int, part string, digest string, `a.b` string"
@@ -83,9 +83,47 @@ def test_identifiers_do_not_run_together(spark):
     assert store.rows().count() == 5
 
 
-def test_a_second_writer_of_the_same_version_fails(spark):
-    _, store = fed(spark, [row(1)])
-    path = f"{store.root}/manifests/00000001.json"
-    with pytest.raises(RuntimeError, match="another merge"):
-        store._files.write_once(path, "{}")
-    assert store.snapshot()["version"] == 1
+def frame(spark, data):
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def ids(store):
+    return sorted(r["id"] for r in store.rows().collect())
+
+
+def test_a_merge_killed_before_its_commit_leaves_a_usable_store(spark, monkeypatch):
+    _, store = fed(spark, [row(5), row(6, ("t", "c", 1, "g"), 2)])
+    batch = frame(spark, [row(1), row(7, ("u", "c", 1, "g"), 3)])
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store._files, "write_once", die)
+        for _ in range(2):
+            with pytest.raises(KeyboardInterrupt):
+                store.merge(batch, ident(), F.col("day"))
+    assert ids(store) == [5, 6] and store.snapshot()["version"] == 1
+    assert store.merge(batch, ident(), F.col("day")) == ["1"]
+    assert ids(store) == [1, 6, 7] and store.snapshot()["version"] == 2
+    assert store.sweep() == []  # within the grace time
+    gone = store.sweep(keep=1, grace_s=-60)
+    # two dead attempts and what version 2 replaced; the partition it left alone stays
+    assert sum("/data/" in p and "part=" not in p for p in gone) == 2 and any(p.endswith("part=1") for p in gone)
+    assert ids(store) == [1, 6, 7] and store.sweep(keep=1, grace_s=-60) == []
+    assert store.merge(frame(spark, [row(0)]), ident(), F.col("day")) == ["1"] and ids(store) == [0, 6, 7]
+
+
+def test_of_two_writers_the_second_changes_nothing(spark, monkeypatch):
+    _, store = fed(spark, [row(5)])
+    other = MessageStore(spark, store.root, "id")
+    stale = other.snapshot()
+    store.merge(frame(spark, [row(9, ("t", "c", 1, "g"))]), ident(), F.col("day"))
+    late = frame(spark, [row(1)])
+    with monkeypatch.context() as m:
+        m.setattr(other, "snapshot", lambda: stale)
+        with pytest.raises(Conflict):
+            other.merge(late, ident(), F.col("day"))
+    assert ids(store) == [5, 9] and store.snapshot()["version"] == 2
+    other.merge(late, ident(), F.col("day"))
+    assert ids(store) == [1, 9] and not [n for n in store._files.names(f"{store.root}/manifests") if n.endswith(".tmp")]
