@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,48 +11,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Commands and their required fields (a container is given as ``manifest``).
 REQUIRED = {"fetch": ["uri", "out"], "torrent": ["input"], "provide": ["manifest"], "unprovide": ["root"], "status": [], "shutdown": []}
+OPTIONAL, CONVERT, CONVERT_SHAPES = {"torrent": ["out"]}, ["torrent", "data", "path"], [("STRING", "STRING", "VOID"), ("VOID", "VOID", "STRING")]
 FIELDS = ["uri", "out", "torrent", "data", "path", "input", "manifest", "root"]
-LINE_LIMIT, PROGRESS_MS, WARN_MS = 8 << 20, 100, 600_000
+LINE_LIMIT, PROGRESS_MS, WARN_MS, MOST_ID = 8 << 20, 100, 600_000, 2**64 - 1
 
-_ID = r'"id"\s*:\s*(\d{1,19})\s*[,}]'
+_HASH, _PARSED, _TOP = "__hash", "__parsed", "__top"
 
 
-def _text(line: Column, name: str) -> Column:
-    """A string field; null if absent or of another type."""
-    raw = F.get_json_object(line, f"$.{name}")
-    return F.when(line.rlike(rf'"{name}"\s*:\s*"'), raw)
+def _kind(name: str) -> Column:
+    """STRING, VOID (absent or null) or another type of a top-level field."""
+    return F.coalesce(F.schema_of_variant(F.col(f"{_TOP}.{name}")), F.lit("VOID"))
 
 
-def _object(line: Column) -> Column:
-    """Whether the line is one JSON object."""
-    return F.coalesce(line.rlike(r"\A\s*\{[\s\S]*\}\s*\z") & F.call_function("json_object_keys", line).isNotNull(), F.lit(False))
+def parse_requests(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` with ``id, cmd, error`` of each, one JSON parse a line.
 
-
-def error_id(line: Column) -> Column:
-    """The unsigned number ``id`` of a line that is JSON, even if it isn't a request; 0 otherwise."""
-    number = F.regexp_extract(line, _ID, 1)
-    return F.when(_object(line) & (number != ""), F.coalesce(number.try_cast("bigint"), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
-
-
-def parsed_request(line: Column) -> dict[str, Column]:
-    """``id, cmd``, the fields, and ``error``: null, ``NotJson``, ``NoId``, ``UnknownCommand``, ``MissingField``, ``BadShape`` or ``TooLong``."""
-    cmd = _text(line, "cmd")
-    fields = {f: _text(line, f) for f in FIELDS}
-    lacks = F.lit(False)
+    ``error`` is null, ``NotJson``, ``NoId``, ``UnknownCommand``, ``MissingField``,
+    ``BadShape`` or ``TooLong``; ``cmd`` is null where there is an error. ``id`` is an
+    unsigned 64-bit number as decimal(20, 0), taken from the top level of any line that
+    is one JSON object, even if it isn't a request; 0 otherwise. A line with a key
+    given twice, a null line and whatever isn't one object are ``NotJson``.
+    """
+    text, kept = F.col(f"`{line}`"), [F.col(f"`{c}`") for c in lines.columns]
+    short = F.when(F.coalesce(F.octet_length(text) <= LINE_LIMIT, F.lit(False)), text)
+    # each step is a projection of its own, so that nothing is parsed or looked up twice
+    hashed = lines.select(*kept, F.sha1(short).alias(_HASH))
+    # the parser stops after one value, so whatever follows it would go unnoticed: the
+    # hash is the second and last element only if the line is exactly one value
+    parsed = hashed.select(*kept, _HASH, F.try_parse_json(F.concat(F.lit("["), short, F.lit(',"'), F.col(_HASH), F.lit('"]'))).alias(_PARSED))
+    whole = (F.try_variant_get(F.col(_PARSED), "$[1]", "string") == F.col(_HASH)) & F.try_variant_get(F.col(_PARSED), "$[2]", "variant").isNull()
+    shape = ", ".join(f"{n}: variant" for n in ["id", "cmd", *FIELDS])
+    top = parsed.select(*kept, F.when(whole & text.rlike(r"\A[ \t\r\n]*\{"), F.try_variant_get(F.col(_PARSED), "$[0]", f"struct<{shape}>")).alias(_TOP))
+    # numbers beyond 63 bits are decimals without a fraction
+    number = F.when(_kind("id").rlike(r"\A(BIGINT|DECIMAL\((19|20),0\))\z"), F.try_variant_get(F.col(f"{_TOP}.id"), "$", "decimal(20,0)"))
+    named = top.select(*kept, _TOP, number.alias("__number"), F.when(_kind("cmd") == "STRING", F.try_variant_get(F.col(f"{_TOP}.cmd"), "$", "string")).alias("__cmd"))
+    cmd = F.col("__cmd")
+    ident = F.when(F.col("__number").between(F.lit(0), F.lit(str(MOST_ID)).cast("decimal(20,0)")), F.col("__number"))
+    # only the fields of the line's own command are looked at
+    wrong = F.when(cmd == "convert", F.when(~F.array(*(_kind(f) for f in CONVERT)).isin(*(F.array(*map(F.lit, kinds)) for kinds in CONVERT_SHAPES)), "BadShape"))
     for name, need in REQUIRED.items():
-        for f in need:
-            lacks = lacks | ((cmd == name) & fields[f].isNull())
-    pair = fields["torrent"].isNotNull() & fields["data"].isNotNull() & fields["path"].isNull()
-    alone = fields["torrent"].isNull() & fields["data"].isNull() & fields["path"].isNotNull()
+        lacks = reduce(Column.__or__, ((_kind(f) != "STRING") for f in need), F.lit(False))
+        odd = reduce(Column.__or__, (~_kind(f).isin("STRING", "VOID") for f in OPTIONAL.get(name, [])), F.lit(False))
+        wrong = wrong.when(cmd == name, F.when(lacks, "MissingField").when(odd, "BadShape"))
     error = (
-        F.when(F.coalesce(F.octet_length(line) > LINE_LIMIT, F.lit(False)), "TooLong")
-        .when(~_object(line), "NotJson")
-        .when(F.regexp_extract(line, _ID, 1) == "", "NoId")
+        F.when(F.coalesce(F.octet_length(text) > LINE_LIMIT, F.lit(False)), "TooLong")
+        .when(F.col(_TOP).isNull(), "NotJson")
+        .when(ident.isNull(), "NoId")
         .when(F.coalesce(~cmd.isin(*REQUIRED, "convert", "dial"), F.lit(True)), "UnknownCommand")
-        .when(F.coalesce(lacks, F.lit(False)), "MissingField")
-        .when((cmd == "convert") & ~(pair | alone), "BadShape")
+        .otherwise(wrong)
     )
-    return {"id": error_id(line), "cmd": F.when(error.isNull(), cmd), "error": error}
+    told = named.select(*kept, F.coalesce(ident, F.lit(0)).cast("decimal(20,0)").alias("__id"), "__cmd", error.alias("__error"))
+    return told.select(*kept, F.col("__id").alias("id"), F.when(F.col("__error").isNull(), F.col("__cmd")).alias("cmd"), F.col("__error").alias("error"))
 
 
 def progress_event(ident: Column, op: Column, done: Column, total: Column) -> Column:

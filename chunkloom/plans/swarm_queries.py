@@ -252,17 +252,24 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", F.concat(F.lit('{"id":'), ident, F.lit(',"cmd":"convert","torrent":"t"'), F.when(F.col("user_id") % 2 == 0, ',"data":"d"').otherwise(""), F.when(F.col("user_id") % 3 == 0, ',"path":"p"').otherwise(""), F.lit("}")))
         .when(F.col("value") < 20, F.concat(F.lit('{"id":'), ident, F.lit(',"cmd":')))
         .when(F.col("value") < 40, F.concat(F.lit('{"id":'), ident, F.lit(',"cmd":"dance"}')))
+        .when(F.col("value") < 80, F.concat(F.lit('{"cmd":"status","x":{"id":'), ident, F.lit("}}")))
+        .when(F.col("value") < 120, F.concat(F.lit('{"x":{"id":1},"cmd":"status","id":'), ident, F.lit("}")))
+        .when(F.col("value") < 160, F.lit('{"id":18446744073709551615,"cmd":"status"}'))
+        .when(F.col("value") < 200, F.concat(F.lit('{"id":'), ident, F.lit(',"cmd":"fetch","uri":5,"out":"o","x":{"uri":"u"}}')))
+        .when(F.col("value") < 240, F.concat(F.lit('{"id":'), ident, F.lit(',"cmd":"status"} {"id":1}')))
+        .when(F.col("value") < 280, F.concat(F.lit('{"id":'), ident, F.lit(',"cmd":"convert","path":"p","data":7}')))
         .otherwise(F.col("props"))
     )
     return e.select("event_id", line.alias("line"))
 
 
 def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in pr.parsed_request(F.col("line")).items()))
+    told = pr.parse_requests(_lines(spark, sf_dir), "line")
+    return told.select("event_id", F.col("id").cast("string").alias("id"), "cmd", "error")
 
 
 def error_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("event_id", pr.error_id(F.col("line")).alias("id"))
+    return pr.parse_requests(_lines(spark, sf_dir), "line").select("event_id", F.col("id").cast("string").alias("id"))
 
 
 def event_build(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,17 @@ _NOW = "(SELECT max(received_at) FROM receipts)"
 _I = "CAST(event_id AS VARCHAR)"
 _LINES = f"""(SELECT event_id, event_type, user_id, value, CASE event_type WHEN 'view' THEN '{{"id":' || {_I} || ',"cmd":"fetch","uri":"u","out":"o"}}' WHEN 'click' THEN '{{"id":' || {_I} || ',"cmd":"fetch","uri":"u"}}'
  WHEN 'signup' THEN '{{"cmd":"status","id":' || {_I} || '}}' WHEN 'purchase' THEN '{{"id":' || {_I} || ',"cmd":"convert","torrent":"t"' || CASE WHEN user_id % 2 = 0 THEN ',"data":"d"' ELSE '' END || CASE WHEN user_id % 3 = 0 THEN ',"path":"p"' ELSE '' END || '}}'
- ELSE CASE WHEN value < 20 THEN '{{"id":' || {_I} || ',"cmd":' WHEN value < 40 THEN '{{"id":' || {_I} || ',"cmd":"dance"}}' ELSE props END END AS line FROM events)"""
+ ELSE CASE WHEN value < 20 THEN '{{"id":' || {_I} || ',"cmd":' WHEN value < 40 THEN '{{"id":' || {_I} || ',"cmd":"dance"}}'
+ WHEN value < 80 THEN '{{"cmd":"status","x":{{"id":' || {_I} || '}}}}' WHEN value < 120 THEN '{{"x":{{"id":1}},"cmd":"status","id":' || {_I} || '}}' WHEN value < 160 THEN '{{"id":18446744073709551615,"cmd":"status"}}'
+ WHEN value < 200 THEN '{{"id":' || {_I} || ',"cmd":"fetch","uri":5,"out":"o","x":{{"uri":"u"}}}}' WHEN value < 240 THEN '{{"id":' || {_I} || ',"cmd":"status"}} {{"id":1}}' WHEN value < 280 THEN '{{"id":' || {_I} || ',"cmd":"convert","path":"p","data":7}}' ELSE props END END AS line FROM events)"""
 _J = "CASE WHEN json_valid(line) THEN line END"
-_ERROR_ID = f"CASE WHEN json_valid(line) AND json_type({_J}, '$.id') = 'UBIGINT' THEN CAST(json_extract_string({_J}, '$.id') AS BIGINT) ELSE 0 END"
+_ERROR_ID = f"CASE WHEN json_valid(line) AND json_type({_J}, '$.id') = 'UBIGINT' THEN json_extract_string({_J}, '$.id') ELSE '0' END"
 _CMD = f"json_extract_string({_J}, '$.cmd')"
-_HAS = lambda f: f"json_extract_string({_J}, '$.{f}') IS NOT NULL"
+_HAS = lambda f: f"coalesce(json_type({_J}, '$.{f}'), '') = 'VARCHAR'"
+_ODD = lambda f: f"coalesce(json_type({_J}, '$.{f}'), 'NULL') NOT IN ('VARCHAR', 'NULL')"
 _ERROR = f"""CASE WHEN NOT json_valid(line) THEN 'NotJson' WHEN coalesce(json_type({_J}, '$.id'), '') <> 'UBIGINT' THEN 'NoId' WHEN coalesce({_CMD}, '') NOT IN ('fetch', 'convert', 'torrent', 'provide', 'unprovide', 'status', 'shutdown', 'dial') THEN 'UnknownCommand'
  WHEN {_CMD} = 'fetch' AND NOT ({_HAS('uri')} AND {_HAS('out')}) THEN 'MissingField'
- WHEN {_CMD} = 'convert' AND NOT (({_HAS('torrent')} AND {_HAS('data')} AND NOT {_HAS('path')}) OR (NOT {_HAS('torrent')} AND NOT {_HAS('data')} AND {_HAS('path')})) THEN 'BadShape' END"""
+ WHEN {_CMD} = 'convert' AND ({_ODD('torrent')} OR {_ODD('data')} OR {_ODD('path')} OR NOT (({_HAS('torrent')} AND {_HAS('data')} AND NOT {_HAS('path')}) OR (NOT {_HAS('torrent')} AND NOT {_HAS('data')} AND {_HAS('path')}))) THEN 'BadShape' END"""
 _MAPPED = f"(SELECT sha1({_t('root')}) AS infohash, {_t('root')} AS root FROM manifests WHERE origin = 'torrent' QUALIFY row_number() OVER (PARTITION BY {_t('root')} ORDER BY manifest_id DESC) = 1)"
 _INFO = "'d6:lengthi' || coalesce(CAST(file_size AS VARCHAR), '?') || 'e4:name' || CAST(strlen(file_path) AS VARCHAR) || ':' || file_path || '12:piece lengthi16384e6:pieces20:aaaaaaaaaaaaaaaaaaaae'"
 _BADFILE = "(file_size IS NULL OR file_size < 0 OR file_path IS NULL OR file_path = '' OR starts_with(file_path, '/') OR list_contains(string_split(file_path, '/'), '..') OR file_path = '.' OR starts_with(file_path, './'))"

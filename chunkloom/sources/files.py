@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chunkloom.operators.bridge import read_metainfo
 from chunkloom.operators.manifest import decode_containers, unsafe_path
-from chunkloom.operators.protocol import parsed_request
+from chunkloom.operators.protocol import parse_requests
 from chunkloom.operators.store import index_line, parse_index_lines
 
 
@@ -68,9 +68,9 @@ def append_index(rows: DataFrame, path: str) -> None:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed request lines (see ``parsed_request``); empty lines are left out."""
+    """Parsed request lines (see ``parse_requests``); empty lines are left out."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select("value", *(c.alias(n) for n, c in parsed_request(F.col("value")).items()))
+    return parse_requests(lines.select("value"), "value")
 
 
 def write_tree(files: DataFrame, folder: str, path: str = "path", data: str = "data") -> None:

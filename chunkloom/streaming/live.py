@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chunkloom.operators.discovery import FRESH_S
-from chunkloom.operators.protocol import parsed_request
+from chunkloom.operators.protocol import parse_requests
 from chunkloom.operators.reputation import ledger
 
 
@@ -25,7 +25,7 @@ def live_ledger(events: DataFrame) -> DataFrame:
 def live_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed request lines of files that appear in a folder; whole lines only."""
     lines = spark.readStream.schema("value string").text(folder).where(F.trim("value") != "")
-    return lines.select("value", *(c.alias(n) for n, c in parsed_request(F.col("value")).items()))
+    return parse_requests(lines.select("value"), "value")
 
 
 def live_index(spark: SparkSession, folder: str) -> DataFrame:

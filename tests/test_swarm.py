@@ -133,16 +133,33 @@ def test_tracker(spark):
     assert [(r["peer"], r["addrs"]) for r in dc.tracker_answers(lines, "line").collect()] == [("A", ["/x/1"]), ("B", ["/y/2"])]
 
 
-@pytest.mark.parametrize(("line", "ident", "cmd", "error"), [
+REQUEST_LINES = [
     ('{"id":7,"cmd":"fetch","uri":"u","out":"o"}', 7, "fetch", None), ('{"id":7,"cmd":"fetch","uri":"u"}', 7, None, "MissingField"), ('{"id":7,"cmd":"fetch","uri":"u","out":5}', 7, None, "MissingField"),
     ('{"id":1,"cmd":"convert","torrent":"t","data":"d"}', 1, "convert", None), ('{"id":1,"cmd":"convert","path":"p"}', 1, "convert", None),
     ('{"id":1,"cmd":"convert","torrent":"t","data":"d","path":"p"}', 1, None, "BadShape"), ('{"id":1,"cmd":"convert","torrent":"t"}', 1, None, "BadShape"), ('{"id":1,"cmd":"convert"}', 1, None, "BadShape"),
     ("not json", 0, None, "NotJson"), ("[1]", 0, None, "NotJson"), ('{"id":3', 0, None, "NotJson"), ('{"cmd":"status"}', 0, None, "NoId"), ('{"id":"7","cmd":"status"}', 0, None, "NoId"), ('{"id":-1,"cmd":"status"}', 0, None, "NoId"),
     ('{"id":9,"cmd":"dance"}', 9, None, "UnknownCommand"), ('{"id":9}', 9, None, "UnknownCommand"), ('{ "cmd" : "shutdown" , "id" : 4 }', 4, "shutdown", None), ('{"id":2,"cmd":"dial"}', 2, "dial", None), (None, 0, None, "NotJson"),
-])
-def test_request_lines(spark, line, ident, cmd, error):
-    df = spark.createDataFrame([(line,)], "l string")
-    assert tuple(df.select(*pr.parsed_request(F.col("l")).values()).first()) == (ident, cmd, error)
+    # the top level decides, not what stands inside other fields
+    ('{"cmd":"status","x":{"id":7}}', 0, None, "NoId"), ('{"x":{"id":1},"cmd":"status","id":2}', 2, "status", None), ('{"id":18446744073709551615,"cmd":"status"}', 2**64 - 1, "status", None),
+    ('{"id":18446744073709551616,"cmd":"status"}', 0, None, "NoId"), ('{"id":5,"cmd":"fetch","uri":5,"out":"o","x":{"uri":"u"}}', 5, None, "MissingField"), ('{"id":5,"cmd":"status"} {"id":6,"cmd":"status"}', 0, None, "NotJson"),
+    ('{"id":5,"cmd":"status"},{"id":6}', 0, None, "NotJson"), ('{"id":5,"cmd":"status"}]', 0, None, "NotJson"), ('{"id":5,"cmd":"status"}, "x"] [1', 0, None, "NotJson"), ("{'id':5,'cmd':'status'}", 0, None, "NotJson"),
+    ('{"id":7,"cmd":"fetch","uri":"x:ab","out":"D:/x"}', 7, "fetch", None), ('{"id":1,"cmd":"convert","data":"d"}', 1, None, "BadShape"), ('{"id":1,"cmd":"nope"}', 1, None, "UnknownCommand"),
+    ('{"id":1,"cmd":"convert","path":"p","data":7}', 1, None, "BadShape"), ('{"id":1,"cmd":"convert","path":"p","data":null}', 1, "convert", None), ('{"id":1.5,"cmd":"status"}', 0, None, "NoId"), ('{"id":7.0,"cmd":"status"}', 0, None, "NoId"),
+    ('{"id":4,"cmd":"torrent","input":"i","out":3}', 4, None, "BadShape"), ('{"id":4,"cmd":"torrent","input":"i"}', 4, "torrent", None), ('{"id":true,"cmd":"status"}', 0, None, "NoId"), ("", 0, None, "NotJson"), ("5", 0, None, "NotJson"),
+    ('{"id":8,"cmd":"status","note":"a \\"id\\": 9, }"}', 8, "status", None), ('{"id":1,"id":2,"cmd":"status"}', 0, None, "NotJson"),
+]
+
+
+def test_request_lines(spark):
+    df = spark.createDataFrame([(i, x[0], "kept") for i, x in enumerate(REQUEST_LINES)], "i int, `l.x` string, error_before string")
+    got = {r["i"]: (int(r["id"]), r["cmd"], r["error"]) for r in pr.parse_requests(df, "l.x").collect()}
+    assert [(x[0], *got[i]) for i, x in enumerate(REQUEST_LINES)] == REQUEST_LINES
+
+
+def test_too_long_lines_are_not_parsed(spark, monkeypatch):
+    monkeypatch.setattr(pr, "LINE_LIMIT", 30)
+    df = spark.createDataFrame([('{"id":1,"cmd":"status"}',), ('{"id":1,"cmd":"status","x":"yyyyyyyyyyyyyyyyy"}',)], "l string")
+    assert [(int(r["id"]), r["error"]) for r in pr.parse_requests(df, "l").collect()] == [(1, None), (0, "TooLong")]
 
 
 def test_event_lines_and_terminal_events(spark):
