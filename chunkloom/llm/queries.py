@@ -65,23 +65,21 @@ def p6_unused_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("*", (F.lit(1.0) - F.col("sum_tokens") / (F.col("n_containers") * CAPACITY)).alias("unused_share"))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    return docs, contamination.find_leaks(docs, table(spark, sf_dir, "eval_items"))
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest stretch of each document and item."""
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("nr = 0")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir)[1].select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
 def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _leaks(spark, sf_dir)[1]
-    return spans.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max(F.col("n_fit") / F.col("n_words")).alias("largest_share"))
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max(F.col("n_fit") / F.col("n_words")).alias("largest_share"))
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, spans = _leaks(spark, sf_dir)
-    return contamination.without_leaks(docs, materialize(spans, "spans"))
+    return contamination.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

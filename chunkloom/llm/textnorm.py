@@ -26,8 +26,8 @@ _POLISH_SIGN = re.compile("[³¹±¶¼]")
 _HIGH = re.compile(r"[\x80-￿]+")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _TAG_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|sup|sub|font|mark|small|wbr|code|tt|s)(?:\s[^<>]*)?/?>", re.I)
-_INLINE_MARKS = re.compile(r"\[/?(?:b|i|u|s|em|url|quote|color|size|font)(?:=[^\]\n]{0,80})?\]|\\(?:emph|text\w{0,4}|underline)(?=\{)", re.I)
-_TAG = re.compile(r"<[a-z/!][^<>]{0,300}>", re.I)
+_INLINE_MARKS = re.compile(r"\[/?(?:b|i|u|s|em|url|quote|color|size|font)(?:=[^\[\]\n]*)?\]|\\(?:emph|text\w{0,4}|underline)(?=\{)", re.I)
+_TAG = re.compile(r"<[a-z/!][^<>]*>", re.I)
 _BROKEN_LINE = re.compile(r"([^\W\d_])[-‐­¬][ \t]*\r?\n[ \t]*([^\W\d_])")
 _MARKS = re.compile(r"[ÃÂÄÅÐÑâĂĹËÎÏ]|[À-ÿ£]{3}|[ТРСГ][Ѐ-џ\u0080-¿‘-›]")
 
