@@ -67,13 +67,22 @@ def _own_base(app: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"chunkloom-{app}-")
 
 
+def _setting(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    Clusters name a folder there that all executors reach. Only where the
-    setting is absent, as in local tests, a temporary folder is set.
+    Clusters name a folder there that all executors reach; where it is unset they get
+    an error, not a folder of one machine. Only local sessions, as in tests, get a
+    temporary folder of their own.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_base(spark.sparkContext.applicationId)
+    base = _setting(spark)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        base = _own_base(spark.sparkContext.applicationId)
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -74,24 +74,32 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tree(files: DataFrame, folder: str, path: str = "path", data: str = "data") -> None:
-    """Write each file below ``folder``, which all executors reach; unsafe paths make the job fail before any write.
+    """Write each file below ``folder``; unsafe paths make the job fail before any write.
 
-    A file is written aside and renamed, so a task that runs twice does no harm.
+    ``folder`` is a URI of a file system that pyarrow knows (hdfs, s3, gs, file) or a
+    plain path that all executors share. A file is written aside and moved, so a task
+    that runs twice does no harm.
     """
     bad = files.where(unsafe_path(path)).select(path).take(1)
     if bad:
         raise ValueError(f"unsafe path: {bad[0][0]!r}")
 
     def put(rows: Iterator) -> None:
+        from pyarrow import fs
         from pyspark import TaskContext
 
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+        made = set()
         for row in rows:
-            target = os.path.join(folder, *row[0].split("/"))
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            target = "/".join([base.rstrip("/"), *row[0].split("/")])
+            parent = target.rpartition("/")[0]
+            if parent not in made:
+                system.create_dir(parent, recursive=True)
+                made.add(parent)
             aside = f"{target}.tmp.{TaskContext.get().taskAttemptId()}"
-            with open(aside, "wb") as out:
+            with system.open_output_stream(aside) as out:
                 out.write(bytes(row[1] or b""))
-            os.replace(aside, target)
+            system.move(aside, target)
 
     files.select(F.col(path), F.col(data).cast("binary")).foreachPartition(put)
 

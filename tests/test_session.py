@@ -1,14 +1,24 @@
+import pytest
+
 from chunkloom import session
 
 
 def test_shared_folder_follows_the_setting_or_is_one_of_its_own(spark, monkeypatch):
-    conf = spark.sparkContext.getConf()
-    set_to = conf.get("spark.checkpoint.dir")
+    set_to = session._setting(spark)
     path = session.shared_dir(spark, "x")
     assert path.startswith(set_to or session._own_base(spark.sparkContext.applicationId)) and path != session.shared_dir(spark, "x")
     own = session._own_base(spark.sparkContext.applicationId)
-    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: conf.__class__(loadDefaults=False))
+    monkeypatch.setattr(session, "_setting", lambda _: None)
     assert session.shared_dir(spark, "y").startswith(own + "/y-")
+    monkeypatch.setattr(session, "_setting", lambda _: own + "/set")
+    assert session.shared_dir(spark, "z").startswith(own + "/set/z-")
+
+
+def test_a_cluster_without_a_shared_folder_raises(spark, monkeypatch):
+    monkeypatch.setattr(session, "_setting", lambda _: None)
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark, "x")
 
 
 def test_materialised_tables_keep_rows_and_types(spark):
