@@ -19,26 +19,35 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Expected documents of one group: large enough to pack tightly, small enough for any task.
 GROUP_ITEMS = 20_000
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER, MOST_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 32 << 20
 #: Pre-splitting of texts that belongs to the byte-level vocabularies, a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str = PATTERN):
-    """A public byte-level tokenizer; read once per worker."""
+def encoder(ranks: bytes, pattern: str = PATTERN):
+    """A public byte-level tokenizer from the content of its file; made once per worker."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
+
+
+def vocabulary(path: str = TOKENIZER) -> bytes:
+    """The tokenizer's file, read by the driver; at most ``MOST_RANKS`` bytes, as it is sent to every task."""
+    with open(path, "rb") as f:
+        ranks = f.read(MOST_RANKS + 1)
+    if len(ranks) > MOST_RANKS:
+        raise ValueError(f"{path}: more than {MOST_RANKS} bytes")
+    return ranks
 
 
 def token_counts(docs: DataFrame, ident: str, text: str, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``(ident, n_tokens)`` of every row; null and empty texts have 0 tokens."""
+    """``(ident, n_tokens)`` of every row; null and empty texts have 0 tokens. Only the driver needs the tokenizer's file."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_ordinary
+        encode = encoder(sent.value, pattern).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=[ident, "n_tokens"])

@@ -56,5 +56,5 @@ def test_token_counts_of_null_empty_and_long_texts(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     got = {r[0]: r[1] for r in pk.token_counts(df, "doc_id", "text").collect()}
     assert got[1] == got[2] == 0 and got[3] == 2 and got[4] > 1000 and got[5] >= 50_000 and got[6] > 1
-    encode = pk.encoder(pk.TOKENIZER).encode_ordinary
+    encode = pk.encoder(pk.vocabulary()).encode_ordinary
     assert all(got[i] == len(encode(t)) for i, t in data if t)
