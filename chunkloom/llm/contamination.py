@@ -112,19 +112,21 @@ def align(item: np.ndarray, doc: np.ndarray, cost: float) -> tuple[np.ndarray, n
     """Best local alignment of word ids as a path: (whether the words fit, position in ``doc`` or -1 for a missing word)."""
     m, n = len(item), len(doc)
     back = np.zeros((m + 1, n + 1), np.int8)  # 0 start, 1 diagonal, 2 up (item word missing), 3 left (word added)
-    row = np.zeros(n + 1)
+    row, own = np.zeros(n + 1), np.zeros(n + 1)
     best, at = 0.0, (0, 0)
     steps = cost * np.arange(n + 1)
+    gain = np.where(doc == item[:, None], 1.0, -cost)
     for i in range(1, m + 1):
-        diagonal = row[:-1] + np.where(doc == item[i - 1], 1.0, -cost)
+        diagonal = row[:-1] + gain[i - 1]
         up = row[1:] - cost
-        own = np.maximum(np.maximum(diagonal, up), 0.0)
-        kind = np.where(own == 0.0, 0, np.where(diagonal >= up, 1, 2))
+        np.maximum(np.maximum(diagonal, up), 0.0, out=own[1:])
+        kind = np.where(diagonal >= up, 1, 2)
+        kind[own[1:] == 0.0] = 0
         # added words: a running maximum of score plus position cost
-        lifted = np.maximum.accumulate(np.r_[0.0, own] + steps) - steps
-        left = lifted[1:] > own + 1e-9
-        back[i, 1:] = np.where(left, 3, kind)
-        row = np.r_[0.0, np.where(left, lifted[1:], own)]
+        lifted = np.maximum.accumulate(own + steps) - steps
+        kind[lifted[1:] > own[1:] + 1e-9] = 3
+        back[i, 1:] = kind
+        row = np.maximum(lifted, own)
         j = int(row.argmax())
         if row[j] > best + 1e-9:
             best, at = float(row[j]), (i, j)
@@ -138,28 +140,52 @@ def align(item: np.ndarray, doc: np.ndarray, cost: float) -> tuple[np.ndarray, n
     return np.array(fits[::-1], bool), np.array(where[::-1], np.int64)
 
 
+def longest_part(fits: np.ndarray) -> tuple[int, int, int]:
+    """(begin, end, words that fit) of the part with most of them, at most ``MOST_ERRORS`` of the part being others."""
+    fit = np.zeros(len(fits) + 1, np.int64)
+    np.cumsum(fits, out=fit[1:])
+    # the error limit as a sum over the part that must not be negative
+    left = fit * MOST_ERRORS - (np.arange(len(fit)) - fit) * (1 - MOST_ERRORS)
+    begin = np.searchsorted(-np.minimum.accumulate(left), -left - 1e-9)  # the earliest begin for each end
+    end = int((fit - fit[begin]).argmax())
+    return int(begin[end]), end, int(fit[end] - fit[begin[end]])
+
+
+def common_length(places: dict[int, int], size: int, doc: np.ndarray) -> int:
+    """Length of the longest common subsequence of ``doc`` and an item, whose words have their positions as bits in ``places``."""
+    full = (1 << size) - 1
+    row = full
+    for w in doc.tolist():
+        if (at := places.get(w)) is not None:
+            both = row & at
+            row = ((row + both) | (row - both)) & full
+    return size - row.bit_count()
+
+
 def stretch(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int] | None:
     """The stretch of ``doc`` with most words of ``item``, within the error limit: (words that fit, errors, first, last position).
 
-    None if it has too few words. Alignments under several costs are cut to their
-    longest part within the limit; the first that is long enough is taken.
+    None if it has too few words. Two bounds that no stretch can exceed come first: the
+    words of a part that the item has at all, and the longest common subsequence. Then
+    alignments under several costs are cut to their longest part within the limit; the
+    first that is long enough is taken.
     """
-    need = words_needed(len(item))
+    need, kinds = words_needed(len(item)), np.unique(item)
+    at = np.minimum(np.searchsorted(kinds, doc), len(kinds) - 1)
+    if longest_part(kinds[at] == doc)[2] < need:
+        return None
+    places: dict[int, int] = {}
+    for k, w in enumerate(item.tolist()):
+        places[w] = places.get(w, 0) | 1 << k
+    if common_length(places, len(item), doc) < need:
+        return None
     for cost in ERROR_COSTS:
         fits, where = align(item, doc, cost)
-        if fits.sum() < need:
-            continue
-        fit = np.r_[0, np.cumsum(fits)]
-        # at most one error to (1 - MOST_ERRORS) / MOST_ERRORS words that fit: the sum must not fall
-        left = fit * MOST_ERRORS - (np.arange(len(fit)) - fit) * (1 - MOST_ERRORS)
-        begin = np.searchsorted(-np.minimum.accumulate(left), -left - 1e-9)  # the earliest begin for each end
-        end = int((fit - fit[begin]).argmax())
-        a, b = int(begin[end]), end
-        if fit[b] - fit[a] < need:
+        a, b, n_fit = longest_part(fits)
+        if n_fit < need:
             continue
         inner = np.flatnonzero(fits[a:b]) + a
         a, b = int(inner[0]), int(inner[-1]) + 1
-        n_fit = int(fit[b] - fit[a])
         errors = b - a - n_fit
         if len(item) < LEAST_WORDS and errors:
             continue
@@ -243,23 +269,28 @@ class Scanner:
         views = [np.flatnonzero(~furniture[lines])]
         if len(views[0]) < len(ids):
             views.append(np.arange(len(ids)))
-        done = 0  # positions before it are settled
+        yield from self._between(i, own, ids, views, reach, 0, len(ids))
+
+    def _between(self, i: int, own: np.ndarray, ids: np.ndarray, views: list[np.ndarray], reach: int, done: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+        """The stretches among the positions from ``done`` to before ``end``."""
+        own = own[own < end]
         while len(own := own[own >= done]):
             hit = int(own[0])
-            best, passed = None, len(ids)
+            best, passed = None, end
             for view in views:
-                at, low = int(np.searchsorted(view, hit)), int(np.searchsorted(view, done))
-                window = view[max(low, at - reach) : at + 2 * reach]
+                at, low, high = np.searchsorted(view, (hit, done, end)).tolist()
+                window = view[max(low, at - reach) : min(high, at + 2 * reach)]
                 # a stretch that holds a hit up to here lies in the window
-                passed = min(passed, int(view[at + reach]) if at + reach < len(view) else len(ids))
-                if (got := self._stretch(i, ids[window])) is not None:
+                passed = min(passed, int(view[at + reach]) if at + reach < high else end)
+                if len(window) and (got := self._stretch(i, ids[window])) is not None:
                     best = (got[0], got[1], int(window[got[2]]), int(window[got[3]]))
                     break
             if best is None:
                 done = max(passed, hit + 1)
-            else:
-                yield best
-                done = max(best[3] + 1, hit + 1) if best[3] >= hit else hit
+                continue
+            yield from self._between(i, own, ids, views, reach, done, best[2])
+            yield best
+            done = best[3] + 1
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int, int, int, int]]:
         """Disjoint stretches: (item id, number of the stretch, words that fit, errors, item words, first and end character in the prepared text).
