@@ -1,23 +1,27 @@
-"""Erasure coding: a systematic random linear code over GF(256), and the plans around it.
+"""Erasure coding: a systematic code over GF(256) in blocks, and the plans around it.
 
-Any set of symbols with enough of them rebuilds the content; the code is this
-project's own (the same contract as fountain codes, not their bits).
+The source symbols of a content are cut into blocks of at most ``BLOCK`` and each block
+gets repair symbols from a Cauchy matrix, so any as many symbols of a block as it has
+source symbols rebuild it. Symbol numbers run over the blocks in turn, so a run of lost
+numbers is spread evenly. Blocks are coded on their own: the work grows with the size,
+and a content of any size is spread over tasks. The code is this project's own (the
+same contract as fountain codes, not their bits).
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Bytes of a symbol, repair symbols of a served content, symbols asked for at once.
-SYMBOL, REPAIR, BATCH = 1200, 64, 128
+from chunkloom.sources.state import load_state, save_part
+
+#: Bytes of a symbol, repair symbols of a served content, symbols asked for at once, source symbols of a block.
+SYMBOL, REPAIR, BATCH, BLOCK = 1200, 64, 128, 128
 
 
 @lru_cache(maxsize=1)
@@ -33,74 +37,142 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return product, exp[255 - log]
 
 
-def _times(a: int, v: np.ndarray) -> np.ndarray:
-    return _tables()[0][a][v]
+def n_blocks(size: int, symbol: int = SYMBOL) -> int:
+    """Blocks of a content: as few as hold its source symbols."""
+    return max(1, -(-size // (symbol * BLOCK)))
 
 
 def config_for(size: int, symbol: int = SYMBOL) -> bytes:
-    """12 bytes that decoding needs, from size and symbol size alone: 5-byte size, a zero, 2-byte symbol size, blocks, sub-blocks, alignment."""
-    return size.to_bytes(5, "big") + b"\0" + struct.pack(">HBHB", symbol, 1, 1, 8)
+    """12 bytes that decoding needs, from size and symbol size alone: 5-byte size, a zero, 2-byte symbol size, 2-byte number of blocks, sub-blocks, alignment."""
+    return size.to_bytes(5, "big") + b"\0" + struct.pack(">HHBB", symbol, n_blocks(size, symbol), 1, 8)
+
+
+def _shape(size: int, symbol: int) -> tuple[int, np.ndarray]:
+    """Source symbols of a content, and where each block begins among them (one more entry for the end)."""
+    k, blocks = -(-size // symbol), n_blocks(size, symbol)
+    sizes = k // blocks + (np.arange(blocks) < k % blocks)
+    return k, np.r_[0, np.cumsum(sizes)].astype(np.int64)
+
+
+def _place(esi: np.ndarray, k: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, number within the block) of symbols. The k source symbols and the repair symbols are dealt out in turn."""
+    per, more = divmod(k, blocks)
+    repair = np.maximum(esi - k, 0)
+    block = np.where(esi < k, esi, repair) % blocks
+    own = per + (block < more)
+    return block, np.where(esi < k, esi // blocks, own + repair // blocks)
 
 
-def _coefficients(size: int, esi: int, k: int) -> np.ndarray:
-    return np.random.default_rng([zlib.crc32(struct.pack("<QQ", size, esi)), esi]).integers(1, 256, k, np.uint8)
+def _rows(numbers: np.ndarray, k: int) -> np.ndarray:
+    """Coefficients of repair symbols over a block's ``k`` source symbols: a Cauchy matrix, random rows beyond its 256 - k."""
+    out = _tables()[1][np.minimum(numbers, 255)[:, None] ^ np.arange(k)]
+    for r in np.flatnonzero(numbers > 255).tolist():
+        out[r] = np.random.default_rng([k, int(numbers[r])]).integers(1, 256, k, np.uint8)
+    return out
+
+
+def _mix(rows: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """The product of two matrices over GF(256)."""
+    product, out = _tables()[0], np.zeros((len(rows), source.shape[1]), np.uint8)
+    for c in range(rows.shape[1]):
+        out ^= product[rows[:, c]][:, source[c]]
+    return out
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray | None:
+    """The inverse over GF(256); None for a singular matrix."""
+    product, inverse = _tables()
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n, dtype=np.uint8)], axis=1)
+    for c in range(n):
+        pivots = np.flatnonzero(both[c:, c])
+        if not len(pivots):
+            return None
+        if pivots[0]:
+            both[[c, c + pivots[0]]] = both[[c + pivots[0], c]]
+        both[c] = product[inverse[both[c, c]], both[c]]
+        factors = both[:, c].copy()
+        factors[c] = 0
+        both ^= product[factors][:, both[c]]
+    return both[:, n:]
 
 
 def encode(data: bytes, repair: int = REPAIR, symbol: int = SYMBOL) -> list[bytes]:
-    """Source symbols (the last padded with zeros), then ``repair`` mixed ones; none for no data."""
+    """Source symbols (the last padded with zeros), then ``repair`` mixed ones, in order of number; none for no data."""
     if not data:
         return []
-    k = -(-len(data) // symbol)
+    k, begins = _shape(len(data), symbol)
+    blocks = len(begins) - 1
     source = np.frombuffer(data.ljust(k * symbol, b"\0"), np.uint8).reshape(k, symbol)
-    out = [bytes(s) for s in source]
-    for esi in range(k, k + repair):
-        mixed = np.zeros(symbol, np.uint8)
-        for c, s in zip(_coefficients(len(data), esi, k).tolist(), source, strict=True):
-            mixed ^= _times(c, s)
-        out.append(mixed.tobytes())
-    return out
+    block, number = _place(np.arange(k + repair), k, blocks)
+    out = np.empty((k + repair, symbol), np.uint8)
+    out[:k] = source[begins[block[:k]] + number[:k]]
+    for b in range(blocks):
+        own = np.flatnonzero(block[k:] == b) + k
+        part = source[begins[b] : begins[b + 1]]
+        out[own] = _mix(_rows(number[own], len(part)), part)
+    return [s.tobytes() for s in out]
+
+
+def decode_block(k: int, numbers: np.ndarray, payloads: np.ndarray) -> np.ndarray | None:
+    """A block's ``k`` source symbols from distinct symbols in any order; None if they don't suffice."""
+    have = numbers < k
+    source = np.zeros((k, payloads.shape[1]), np.uint8)
+    source[numbers[have]] = payloads[have]
+    lost = np.setdiff1d(np.arange(k), numbers[have])
+    spare = np.flatnonzero(~have)
+    if len(lost) > len(spare):
+        return None
+    if len(lost):
+        order = spare[np.argsort(numbers[spare])]  # Cauchy rows first: any of them are independent
+        used = order[: len(lost)]
+        rows = _rows(numbers[used], k)
+        inverse = _inverse(rows[:, lost])
+        if inverse is None:  # random rows among them: all there are, by elimination
+            rows = _rows(numbers[order], k)
+            chosen = _independent(rows[:, lost])
+            if len(chosen) < len(lost):
+                return None
+            used, rows = order[chosen], rows[chosen]
+            inverse = _inverse(rows[:, lost])
+        known = np.setdiff1d(np.arange(k), lost)
+        source[lost] = _mix(inverse, payloads[used] ^ _mix(rows[:, known], source[known]))
+    return source
+
+
+def _independent(rows: np.ndarray) -> np.ndarray:
+    """As many independent rows as there are, by number."""
+    product, inverse = _tables()
+    work, chosen = rows.copy(), []
+    for r in range(len(work)):
+        at = np.flatnonzero(work[r])
+        if len(at):
+            chosen.append(r)
+            own = product[inverse[work[r, at[0]]], work[r]]
+            factors = work[r + 1 :, at[0]].copy()
+            work[r + 1 :] ^= product[factors][:, own]
+        if len(chosen) == rows.shape[1]:
+            break
+    return np.array(chosen, np.int64)
 
 
 def decode(size: int, symbols: list[tuple[int, bytes]], symbol: int = SYMBOL) -> bytes | None:
-    """The content from (number, symbol) pairs in any order, padding cut off; None if they don't suffice."""
+    """The content from (number, symbol) pairs in any order, padding cut off; None if they don't suffice. Symbols of another length don't count."""
     if size == 0:
         return b""
-    k = -(-size // symbol)
-    inverses = _tables()[1]
-    rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by pivot column
-    for esi, payload in symbols:
-        if len(payload) != symbol:
-            continue
-        coef = np.zeros(k, np.uint8)
-        if esi < k:
-            coef[esi] = 1
-        else:
-            coef = _coefficients(size, esi, k).copy()
-        value = np.frombuffer(payload, np.uint8).copy()
-        for col in np.flatnonzero(coef):
-            if coef[col] and col in rows:
-                c, v = rows[col]
-                f = int(coef[col])
-                coef ^= _times(f, c)
-                value ^= _times(f, v)
-        pivots = np.flatnonzero(coef)
-        if len(pivots):
-            col = int(pivots[0])
-            inverse = int(inverses[coef[col]])
-            rows[col] = (_times(inverse, coef), _times(inverse, value))
-        if len(rows) == k:
-            break
-    if len(rows) < k:
-        return None
-    solved: dict[int, np.ndarray] = {}
-    for col in range(k - 1, -1, -1):
-        coef, value = rows[col]
-        value = value.copy()
-        for other in np.flatnonzero(coef):
-            if other != col:
-                value ^= _times(int(coef[other]), solved[int(other)])
-        solved[col] = value
-    return b"".join(solved[c].tobytes() for c in range(k))[:size]
+    kept = {int(e): p for e, p in symbols if len(p) == symbol}
+    k, begins = _shape(size, symbol)
+    esi = np.array(sorted(kept), np.int64)
+    payloads = np.frombuffer(b"".join(kept[e] for e in esi.tolist()), np.uint8).reshape(-1, symbol)
+    block, number = _place(esi, k, len(begins) - 1)
+    out = []
+    for b in range(len(begins) - 1):
+        own = block == b
+        got = decode_block(int(begins[b + 1] - begins[b]), number[own], payloads[own])
+        if got is None:
+            return None
+        out.append(got.tobytes())
+    return b"".join(out)[:size]
 
 
 def encode_symbols(contents: DataFrame, root: str, data: str, repair: int = REPAIR, symbol: int = SYMBOL) -> DataFrame:
@@ -109,24 +181,95 @@ def encode_symbols(contents: DataFrame, root: str, data: str, repair: int = REPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            made, sizes, rows = [], [], []
             for i, raw in enumerate(b.column(1).to_pylist()):
-                made = encode(raw or b"", repair, symbol)
-                if made:
-                    keys = b.column(0).take(pa.array([i] * len(made)))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([len(raw)] * len(made), pa.int64()), pa.array(range(len(made)), pa.int64()), pa.array(made, pa.binary())], names=[root, "size", "esi", "payload"])
+                own = encode(raw or b"", repair, symbol)
+                made.append(own)
+                sizes += [len(raw or b"")] * len(own)
+                rows += [i] * len(own)
+                if len(rows) >= 4096 or (i == b.num_rows - 1 and rows):
+                    esi = [e for o in made for e in range(len(o))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(esi, pa.int64()), pa.array([p for o in made for p in o], pa.binary())], names=[root, "size", "esi", "payload"])
+                    made, sizes, rows = [], [], []
 
     return contents.select(root, F.col(data).cast("binary")).mapInArrow(run, f"{root} {kind}, size bigint, esi bigint, payload binary")
 
 
-def decode_symbols(symbols: DataFrame, root: str) -> DataFrame:
-    """``(root, data)`` from whatever symbols are there; null where they don't suffice. A content's symbols are a bounded group."""
+def decode_symbols(symbols: DataFrame, root: str, symbol: int = SYMBOL) -> DataFrame:
+    """``(root, data)`` from whatever symbols are there; null where they don't suffice.
+
+    Symbols are brought together per block, so a task never gets more than one block's
+    (repeated symbols aside, which are dropped as they come); null roots are one content.
+    """
     kind = symbols.schema[root].dataType.simpleString()
+    k = F.greatest(F.lit(1), F.ceil(F.col("size") / symbol)).cast("bigint")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / (symbol * BLOCK))).cast("bigint")
+    turn = F.when(F.col("esi") < k, F.col("esi")).otherwise(F.col("esi") - k)
+    dealt = symbols.where((F.length("payload") == symbol) & (F.col("size") > 0)).select(F.col(root).alias("root"), F.col("size").cast("bigint").alias("size"), F.pmod(turn, blocks).alias("block"), F.col("esi").cast("bigint").alias("esi"), "payload")
+    placed = dealt.repartition("root", "block").sortWithinPartitions("root", "block", "esi")
+
+    def solve(own: dict) -> tuple[bytes | None, int]:
+        size, esi = own["size"], np.array(own["esi"], np.int64)
+        total, begins = _shape(size, symbol)
+        number = _place(esi, total, len(begins) - 1)[1]
+        b = own["block"]
+        got = decode_block(int(begins[b + 1] - begins[b]), number, np.frombuffer(b"".join(own["payload"]), np.uint8).reshape(-1, symbol))
+        return None if got is None else got.tobytes()[: max(0, size - int(begins[b]) * symbol)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict | None = None
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*done, strict=True))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["root", "size", "block", "data"])
+
+        for b in batches:
+            key_type = b.schema.field(0).type
+            for r, size, block, esi, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own is None or (own["root"], own["block"]) != (r, block):
+                    if own is not None:
+                        done.append((own["root"], own["size"], own["block"], solve(own)))
+                    own = {"root": r, "size": size, "block": block, "esi": [], "payload": []}
+                if not own["esi"] or own["esi"][-1] != esi:
+                    own["esi"].append(esi)
+                    own["payload"].append(payload)
+            if done:
+                yield flush()
+        if own is not None:
+            done.append((own["root"], own["size"], own["block"], solve(own)))
+            yield flush()
+
+    solved = placed.mapInArrow(run, f"root {kind}, size bigint, block bigint, data binary")
+    # every content asked for has a row, also if nothing usable of it is there
+    asked = symbols.select(F.col(root).alias("root"), F.col("size").cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("data")).distinct()
+    met = solved.unionByName(asked).groupBy("root").agg(F.max("size").alias("size"), F.count("data").alias("n"), F.array_sort(F.collect_list(F.when(F.col("data").isNotNull(), F.struct("block", "data")))).alias("parts"))
+    whole = F.when(F.col("n") == blocks, F.col("parts.data")).when(F.col("size") == 0, F.array())
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [None if p is None else b"".join(p) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=[root, "data"])
+
+    return met.select("root", whole.cast("array<binary>").alias("parts")).mapInArrow(join, f"{root} {kind}, data binary")
+
+
+class SymbolCache:
+    """Symbols of served contents, made once per root when first asked for, kept in a folder."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("esi")
-        return pd.DataFrame({root: [key[0]], "data": [decode(int(pdf["size"].iloc[0]), list(zip(pdf["esi"], pdf["payload"], strict=True)))]})
+    def __init__(self, spark: SparkSession, folder: str, root: str, repair: int = REPAIR, symbol: int = SYMBOL):
+        self.spark, self.folder, self.root, self.repair, self.symbol = spark, folder, root, repair, symbol
 
-    return symbols.groupBy(root).applyInPandas(run, f"{root} {kind}, data binary")
+    def symbols(self, contents: DataFrame, data: str) -> DataFrame:
+        """The symbols of all ``contents``; only those of roots not there yet are made and appended."""
+        shape = f"{self.root} {contents.schema[self.root].dataType.simpleString()}, size bigint, esi bigint, payload binary"
+        kept = load_state(self.spark, self.folder, shape)
+        new = contents.join(kept.select(self.root).distinct(), self.root, "left_anti")
+        made = encode_symbols(new, self.root, data, self.repair, self.symbol)
+        if new.take(1):
+            save_part(made, self.folder)
+        return load_state(self.spark, self.folder, shape).join(contents.select(self.root).distinct(), self.root, "left_semi")
 
 
 def symbol_range(symbols: DataFrame, start: Column, count: Column) -> DataFrame:

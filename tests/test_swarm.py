@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from hypothesis import given, settings, strategies as st
@@ -246,17 +247,50 @@ def test_mappings(spark):
     assert {r["h"]: r["provider"] for r in br.resolve(asked, now, offers, "h", "root", "o").collect()} == {"h": "good", "new": None}
 
 
+def test_symbols_are_made_once(spark, tmp_path):
+    cache = fec.SymbolCache(spark, str(tmp_path / "symbols"), "root", repair=2)
+    df = spark.createDataFrame([("a", b"x" * 3000), ("b", b"y")], "root string, data binary")
+    assert cache.symbols(df.where("root = 'a'"), "data").count() == 5
+    assert cache.symbols(df, "data").count() == 8 and cache.symbols(df.where("root = 'b'"), "data").count() == 3
+    versions = len(list((tmp_path / "symbols").iterdir()))
+    assert cache.symbols(df, "data").count() == 8 and len(list((tmp_path / "symbols").iterdir())) == versions == 2
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.binary(min_size=1, max_size=400), st.integers(0, 2**32))
 def test_any_large_enough_subset_rebuilds(data, seed):
     symbols = list(enumerate(fec.encode(data, repair=8, symbol=32)))
     random.Random(seed).shuffle(symbols)
     k = -(-len(data) // 32)
-    assert fec.decode(len(data), symbols[: k + 2], 32) == data or fec.decode(len(data), symbols[: k + 4], 32) == data
+    assert fec.decode(len(data), symbols[:k], 32) == data  # one block: any k symbols
     assert fec.decode(len(data), symbols[: k - 1], 32) is None
     assert fec.decode(len(data), [(i, p[:-1]) for i, p in symbols], 32) is None
 
 
+@pytest.mark.parametrize(("size", "repair", "lost"), [(100_000, 60, 40), (32 * 128 * 3 + 5, 90, 60), (32 * 700, 300, 250), (40, 400, 2)])
+def test_losses_in_a_row_over_blocks(size, repair, lost):
+    symbol = 1200 if size == 100_000 else 32
+    data = sc.sample_bytes(size, 7)
+    symbols = list(enumerate(fec.encode(data, repair, symbol)))
+    k = -(-size // symbol)
+    assert len(symbols) == k + repair and b"".join(p for _, p in symbols[: (k if fec.n_blocks(size, symbol) == 1 else 0)])[:size] == (data if fec.n_blocks(size, symbol) == 1 else b"")
+    assert fec.decode(size, symbols[lost:], symbol) == data and fec.decode(size, symbols[k // 3 : k // 3 + lost] + symbols[lost:], symbol) == data
+    assert fec.decode(size, symbols[:k], symbol) == data and (k == 1 or fec.decode(size, symbols[: k - 1], symbol) is None)
+    if size == 100_000:  # too many are lost
+        assert fec.decode(size, symbols[:5] + symbols[-10:], symbol) is None
+    else:  # repair symbols beyond the Cauchy matrix too
+        assert fec.decode(size, symbols[-k - 40 :], symbol) == data
+
+
+def test_inverse_over_the_field():
+    rng = np.random.default_rng(1)
+    m = rng.integers(0, 256, (20, 20), np.uint8)
+    m[0], m[0, 3] = 0, 1  # a zero pivot first
+    assert (fec._mix(fec._inverse(m), m) == np.eye(20, dtype=np.uint8)).all()
+    m[5] = m[6]
+    assert fec._inverse(m) is None and len(fec._independent(m)) == 19
+
+
 def test_erasure_coding_over_tables(spark):
     data = sc.sample_bytes(20_000, 3)
     df = spark.createDataFrame([("a", data), ("b", b""), ("c", None), ("d", b"x")], "root string, data binary")
@@ -265,6 +299,12 @@ def test_erasure_coding_over_tables(spark):
     got = {r["root"]: bytes(r["data"]) for r in fec.decode_symbols(symbols.where("esi >= 8 OR root = 'd'"), "root").collect()}
     assert got == {"a": data, "d": b"x"}
     assert fec.decode_symbols(symbols.where("esi >= 15 AND root = 'a'"), "root").first()["data"] is None
+    long = spark.createDataFrame([(None, sc.sample_bytes(400_001, 4)), ("e", b"y")], "root string, data binary")
+    made = fec.encode_symbols(long, "root", "data", repair=30)
+    twice = made.where("esi > 20").unionByName(made.where("esi % 3 = 1")).unionByName(made.where("root = 'e'"))
+    got = {r["root"]: bytes(r["data"]) for r in fec.decode_symbols(twice, "root").collect()}
+    assert got == {None: sc.sample_bytes(400_001, 4), "e": b"y"}
+    assert [tuple(r) for r in fec.decode_symbols(made.where("root IS NULL AND esi % 3 > 0"), "root").collect()] == [(None, None)]
     assert fec.symbol_range(symbols.where("root = 'a'"), F.lit(25), F.lit(10)).count() == 2 and len(fec.config_for(5)) == 12
     sizes = spark.createDataFrame([(0, 1, 1), (1200, 1, 1), (1201, 2, 1), (1200 * 129, 129, 2)], "s bigint, n bigint, r bigint")
     assert all(r[0] == r[2] and r[1] == r[3] for r in sizes.select("n", "r", fec.needed(F.col("s")), fec.rounds(F.col("s"))).collect())
