@@ -46,20 +46,29 @@ def _add(p: tuple, q: tuple) -> tuple:
     return e * f % P, g * h % P, f * g % P, e * h % P
 
 
+def _double(p: tuple) -> tuple:
+    a, b = p[0] * p[0] % P, p[1] * p[1] % P
+    h, g = a + b, a - b
+    e, f = h - (p[0] + p[1]) ** 2 % P, 2 * p[2] * p[2] + g
+    return e * f % P, g * h % P, f * g % P, e * h % P
+
+
 def _times(k: int, p: tuple) -> tuple:
+    """By digits of 4 bits, from the highest."""
+    row = [ZERO]
+    for _ in range(15):
+        row.append(_add(row[-1], p))
     q = ZERO
-    while k:
-        if k & 1:
-            q = _add(q, p)
-        p = _add(p, p)
-        k >>= 1
+    for shift in range(max(0, k.bit_length() - 1) // 4 * 4, -1, -4):
+        q = _double(_double(_double(_double(q))))
+        if (digit := k >> shift & 15):
+            q = _add(q, row[digit])
     return q
 
 
-@lru_cache(maxsize=1)
-def _base_table() -> list[list[tuple]]:
-    """Multiples 0 to 15 of the base point times 16**i for each of 64 digits."""
-    table, p = [], BASE
+def _table(p: tuple) -> list[list[tuple]]:
+    """Multiples 0 to 15 of a point times 16**i for each of 64 digits."""
+    table = []
     for _ in range(64):
         row = [ZERO]
         for _ in range(15):
@@ -69,14 +78,42 @@ def _base_table() -> list[list[tuple]]:
     return table
 
 
-def _times_base(k: int) -> tuple:
+@lru_cache(maxsize=1)
+def _base_table() -> list[list[tuple]]:
+    return _table(BASE)
+
+
+def _times_by(table: list[list[tuple]], k: int) -> tuple:
     q = ZERO
-    for row in _base_table():
-        q = _add(q, row[k & 15])
+    for row in table:
+        if k & 15:
+            q = _add(q, row[k & 15])
         k >>= 4
     return q
 
 
+def _times_base(k: int) -> tuple:
+    return _times_by(_base_table(), k)
+
+
+#: Keys that a worker met: how often, and from the fourth time on the table of its multiples. A few keys sign most messages.
+_MET: dict[bytes, list] = {}
+
+
+def _key_point(key: bytes) -> tuple[tuple | None, list | None]:
+    """The point of a public key (None if it's invalid or of small order), and its table if it's met often."""
+    met = _MET.get(key)
+    if met is None:
+        if len(_MET) >= 2_000:
+            _MET.clear()
+        point = _unpack(key)
+        met = _MET[key] = [None if point is None or _small(point) else point, 0, None]
+    met[1] += 1
+    if met[1] == 4 and met[0] is not None:
+        met[2] = _table(met[0])
+    return met[0], met[2]
+
+
 def _same(p: tuple, q: tuple) -> bool:
     return (p[0] * q[2] - q[0] * p[2]) % P == 0 and (p[1] * q[2] - q[1] * p[2]) % P == 0
 
@@ -94,7 +131,7 @@ def _unpack(raw: bytes) -> tuple | None:
 
 
 def _small(p: tuple) -> bool:
-    return _same(_times(8, p), ZERO)
+    return _same(_double(_double(_double(p))), ZERO)
 
 
 @lru_cache(maxsize=10_000)
@@ -125,10 +162,12 @@ def verify(key: bytes | None, message: bytes | None, signature: bytes | None) ->
     if key is None or message is None or signature is None or len(key) != 32 or len(signature) != 64:
         return False
     s = int.from_bytes(signature[32:], "little")
-    own, r = _unpack(key), _unpack(signature[:32])
-    if s >= ORDER or own is None or r is None or _small(own) or _small(r):
+    own, table = _key_point(key)
+    r = _unpack(signature[:32])
+    if s >= ORDER or own is None or r is None or _small(r):
         return False
-    return _same(_times_base(s), _add(r, _times(_scalar(signature[:32], key, message), own)))
+    h = _scalar(signature[:32], key, message)
+    return _same(_times_base(s), _add(r, _times(h, own) if table is None else _times_by(table, h)))
 
 
 @F.udf(T.BinaryType(), useArrow=True)

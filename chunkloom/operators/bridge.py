@@ -187,11 +187,33 @@ def resolve_or_convert(asked: DataFrame, mappings: DataFrame, key: str, root: st
     return met.select(*asked.columns, F.coalesce("__r", made).alias("root"), F.col("__r").isNull().alias("converted"))
 
 
-def resolve(asked: DataFrame, mappings: DataFrame, offers: DataFrame, key: str, root: str, order: str) -> DataFrame:
-    """``asked`` with the root and the first offer that succeeds: mapping, then providers in order; null where none does."""
-    ok = offers.where(F.coalesce("ok", F.lit(False))).groupBy(F.col(root).alias("__or")).agg(F.min_by("provider", order).alias("provider"))
+def resolve(asked: DataFrame, mappings: DataFrame, offers: DataFrame, key: str, root: str, order: str, checks: DataFrame | None = None) -> DataFrame:
+    """``asked`` with the root and the first offer that succeeds: mapping, then providers in order; null where none does.
+
+    With ``checks (key, root, provider, verified)``, what the pieces of each download
+    told (``verify_pieces``), an offer counts only if its content is that of the asked
+    key; one that wasn't checked doesn't. So a mapping to other content gives nothing.
+    """
     met = asked.join(mappings.select(F.col(key).alias("__k"), F.col(root).alias("root")), F.col(key) == F.col("__k"), "left")
-    return met.join(ok, F.col("root") == F.col("__or"), "left").select(*asked.columns, "root", "provider")
+    good = offers.where(F.coalesce("ok", F.lit(False))).select(F.col(root).alias("__or"), "provider", F.col(order).alias("__o"))
+    if checks is None:
+        first = good.groupBy("__or").agg(F.min_by("provider", "__o").alias("provider"))
+        return met.join(first, F.col("root") == F.col("__or"), "left").select(*asked.columns, "root", "provider")
+    told = checks.where("verified").select(F.col(key).alias("__ck"), F.col(root).alias("__cr"), F.col("provider").alias("__cp")).distinct()
+    passed = told.join(good, (F.col("__cr") == F.col("__or")) & (F.col("__cp") == F.col("provider")))
+    first = passed.groupBy("__ck", "__cr").agg(F.min_by("provider", "__o").alias("provider"))
+    return met.join(first, (F.col(key) == F.col("__ck")) & (F.col("root") == F.col("__cr")), "left").select(*asked.columns, "root", "provider")
+
+
+def publish(made: DataFrame, infohash: str, root: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """What announcing bridged content ``(infohash, root, order)`` appends: rows for the provider records and for the mappings.
+
+    Providers get ``(root, kind, order)`` with kind ``provide``, mappings ``(key, root,
+    order)`` with the key of ``mapping_key``. A null info hash or root announces nothing.
+    """
+    whole = made.where(F.col(infohash).isNotNull() & F.col(root).isNotNull())
+    records = whole.select(F.col(root).alias("root"), F.lit("provide").alias("kind"), F.col(order).alias("order"))
+    return records, whole.select(mapping_key(F.col(infohash)).alias("key"), F.col(root).alias("root"), F.col(order).alias("order"))
 
 
 def download_dir(source: Column, base: str, chosen: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ moves no cut far from it. The cut points are this project's own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -67,6 +67,35 @@ def cut_points(data: bytes, least: int = MIN_SIZE, average: int = AVG_SIZE, most
     return ends
 
 
+def cut_stream(blocks: Iterable[bytes], least: int = MIN_SIZE, average: int = AVG_SIZE, most: int = MAX_SIZE) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of the chunks of a file that comes in blocks: those of ``cut_points``, with a block and ``most`` bytes held at once."""
+    strict, loose = masks(average)
+    before, held, at = b"", b"", 0  # the last bytes cut off, which hashes still rest on
+    source = iter(blocks)
+    while True:
+        block = next(source, None)
+        held += block or b""
+        if block is not None and len(held) < most:
+            continue
+        h = window_hashes(np.frombuffer(before + held, np.uint8))[len(before) :] if held else np.zeros(0, np.uint32)
+        at_loose = np.flatnonzero(h & np.uint32(loose) == 0)
+        at_strict = np.flatnonzero(h & np.uint32(strict) == 0)
+        start, n = 0, len(held)
+        # a cut is settled once ``most`` bytes are there, or the file's end
+        while n - start >= most or (block is None and n > start):
+            end = n
+            if n - start > least:
+                a, b = np.searchsorted(at_strict, start + least - 1), np.searchsorted(at_loose, start + average - 1)
+                one = int(at_strict[a]) + 1 if a < len(at_strict) else n
+                two = int(at_loose[b]) + 1 if b < len(at_loose) else n
+                end = min(one if one < start + average else two, start + most, n)
+            yield at + start, held[start:end]
+            start = end
+        if block is None:
+            return
+        before, held, at = (before + held[:start])[-(WINDOW - 1) :], held[start:], at + start
+
+
 def content_chunks(
     files: DataFrame, ident: str, data: str, least: int = MIN_SIZE, average: int = AVG_SIZE, most: int = MAX_SIZE, with_bytes: bool = False
 ) -> DataFrame:

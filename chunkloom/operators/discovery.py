@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.operators.prefix import dense_index
 
-#: Seconds after which an announcement is no longer fresh.
-FRESH_S = 1800
+#: Seconds after which an announcement is no longer fresh; names in a row of a list; bits of a mask word used; names that the driver holds.
+FRESH_S, PAGE, MASK_BITS, MOST_NAMES = 1800, 1000, 62, 100_000
 
 
 def peer_of_address(address: Column | str) -> Column:
@@ -57,28 +57,32 @@ def download_report(chunks: DataFrame, held: DataFrame, tree: str, ordinal: str,
 
 
 def provider_dictionary(have: DataFrame, provider: str) -> list[str]:
-    """The providers in order of their names; at most 63, else ``assign`` raises."""
-    return sorted(r[0] for r in have.where(F.col(provider).isNotNull()).select(provider).distinct().limit(64).collect())
+    """The providers in order of their names; more than ``MOST_NAMES`` raise."""
+    names = sorted(r[0] for r in have.where(F.col(provider).isNotNull()).select(provider).distinct().limit(MOST_NAMES + 1).collect())
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} providers")
+    return names
 
 
 def assign(missing: DataFrame, have: DataFrame, tree: str, ordinal: str, key: str, provider: str) -> DataFrame:
     """``missing`` with its ``slot`` in the tree and the ``provider`` to ask: slot k starts at provider k mod n and goes on in rotation.
 
-    Who has a key is a bit mask per key (a partially aggregated or), so a key that all
-    have costs one row. Null if nobody has it.
+    Who has a key is a bit mask per key, of as many words as the providers need (partially
+    aggregated ors), so a key that all have costs one row. Null if nobody has it.
     """
     names = provider_dictionary(have, provider)
     n = len(names)
-    if n > 63:
-        raise ValueError("more than 63 providers: split them into swarms")
     if not n:
         return dense_index(missing, tree, ordinal, "slot").withColumn("provider", F.lit(None).cast("string"))
     listed = F.array(*map(F.lit, names))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.array_position(listed, F.col(provider)) - 1).cast("int"))
-    masks = have.where(F.col(provider).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.bit_or(bit).alias("__m"))
+    place = (F.array_position(listed, F.col(provider)) - 1).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(MASK_BITS)))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(place / MASK_BITS) == w, bit)), F.lit(0).cast("bigint")) for w in range(-(-n // MASK_BITS))]
+    masks = have.where(F.col(provider).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.array(*words).alias("__m"))
     slotted = dense_index(missing, tree, ordinal, "slot").join(masks, F.col(key) == F.col("__k"), "left")
     at = lambda o: ((F.col("slot") + o) % n).cast("int")
-    turn = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.call_function("getbit", F.coalesce("__m", F.lit(0).cast("bigint")), at(o)) == 1)
+    has = lambda p: F.call_function("getbit", F.coalesce(F.get("__m", F.floor(p / MASK_BITS).cast("int")), F.lit(0).cast("bigint")), F.pmod(p, F.lit(MASK_BITS))) == 1
+    turn = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: has(at(o)))
     chosen = F.get(turn, 0)
     return slotted.select(*missing.columns, "slot", F.get(listed, at(chosen)).alias("provider"))
 
@@ -90,9 +94,11 @@ def first_valid(offers: DataFrame, key: str, order: str, valid: Column) -> DataF
 
 
 def providers(found: DataFrame, root: str, peer: str, order: str) -> DataFrame:
-    """``(root, providers)``: the distinct peers of each root in order of discovery; as many as there are peers at most."""
+    """``(root, page, providers)``: the distinct peers of each root in order of discovery, ``PAGE`` of them in a row."""
     first = found.where(F.col(peer).isNotNull()).groupBy(root, peer).agg(F.min(order).alias("o"))
-    return first.groupBy(root).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", peer))), lambda x: x[peer]).alias("providers"))
+    placed = dense_index(first, root, "o", "nr")
+    pages = placed.groupBy(root, F.floor(F.col("nr") / PAGE).cast("bigint").alias("page"))
+    return pages.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", peer))), lambda x: x[peer]).alias("providers"))
 
 
 def last_state(log: DataFrame, keys: list[str], order: list[str], op: str) -> DataFrame:
@@ -126,8 +132,15 @@ def fresh_peers(announces: DataFrame, now: Column, ttl_s: int = FRESH_S) -> Data
 
 
 def peers_response(fresh: DataFrame) -> DataFrame:
-    """``(cid, count, peers)``; a cid's fresh peers are one answer, as large as the swarm."""
-    return fresh.groupBy("cid").agg(F.count("*").alias("count"), F.array_sort(F.collect_list("peer")).alias("peers"))
+    """``(cid, count, page, peers)``: the fresh peers of each cid in order of name, and how many there are.
+
+    A swarm of up to ``PAGE`` peers is one row, page 0. A larger one is dealt into as
+    many pages as keep to that on average, by a hash of the peer, each in order of name.
+    """
+    sizes = fresh.groupBy(F.col("cid").alias("__c")).agg(F.count("*").alias("count"))
+    met = fresh.select("cid", "peer").join(sizes, F.col("cid").eqNullSafe(F.col("__c")))
+    page = F.pmod(F.xxhash64("peer"), F.ceil(F.col("count") / PAGE).cast("bigint"))
+    return met.groupBy("cid", "count", page.alias("page")).agg(F.array_sort(F.collect_list("peer")).alias("peers"))
 
 
 def announce_status(method: Column, cid: Column, peer: Column, n_addrs: Column) -> Column:

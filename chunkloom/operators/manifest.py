@@ -12,7 +12,7 @@ import struct
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.functions.digest import hash_from_text
-from chunkloom.operators.merkle import merkle_roots
+from chunkloom.operators.merkle import merkle_roots, proof_holds
 from chunkloom.operators.prefix import running_total
 
 #: Address scheme and container header of this project.
@@ -37,9 +37,9 @@ def tree_layout(files: DataFrame, chunks: DataFrame, tree: str, order: str, iden
     return based, placed
 
 
-def content_ids(chunks: DataFrame, tree: str) -> DataFrame:
-    """``(tree, root)`` from the chunk rows of ``tree_layout``."""
-    return merkle_roots(chunks, tree, "ordinal", "hash")
+def content_ids(chunks: DataFrame, tree: str, most: int | None = None) -> DataFrame:
+    """``(tree, root)`` from the chunk rows of ``tree_layout``; ``most`` as in ``merkle_roots``."""
+    return merkle_roots(chunks, tree, "ordinal", "hash", most)
 
 
 def address(root: Column | str, scheme: str = SCHEME) -> Column:
@@ -57,9 +57,9 @@ def parsed_address(uri: Column | str, scheme: str = SCHEME) -> tuple[Column, Col
     return F.lower(F.hex(root)), error
 
 
-def consistent(stated: DataFrame, chunks: DataFrame, tree: str, root: str) -> DataFrame:
+def consistent(stated: DataFrame, chunks: DataFrame, tree: str, root: str, most: int | None = None) -> DataFrame:
     """``stated`` with ``folded`` (root of the chunk rows, null without any) and ``is_consistent``."""
-    own = content_ids(chunks.withColumnRenamed(tree, "__t"), "__t").withColumnRenamed("root", "folded")
+    own = content_ids(chunks.withColumnRenamed(tree, "__t"), "__t", most).withColumnRenamed("root", "folded")
     return stated.join(own, F.col(tree).eqNullSafe(F.col("__t")), "left").drop("__t").withColumn("is_consistent", F.coalesce(F.col("folded") == F.col(root), F.lit(False)))
 
 
@@ -70,6 +70,18 @@ def chunk_checks(chunks: DataFrame, got: DataFrame, tree: str) -> DataFrame:
     return met.select(*got.columns, F.coalesce(F.unhex(F.sha2("bytes", 256)) == F.col("__h"), F.lit(False)).alias("ok"))
 
 
+def full_checks(chunks: DataFrame, got: DataFrame, roots: DataFrame, tree: str) -> DataFrame:
+    """Every received ``(tree, ordinal, bytes, steps)`` with ``ok`` (as in ``chunk_checks``), ``proven`` and ``full_ok``.
+
+    ``steps`` is the inclusion proof that came with the bytes (``merkle_proofs``); it
+    must lead from the hash of the bytes to the tree's root in ``roots (tree, root)``.
+    """
+    cheap = chunk_checks(chunks, got, tree)
+    met = cheap.join(roots.select(F.col(tree).alias("__t"), F.col("root").alias("__r")), F.col(tree).eqNullSafe(F.col("__t")), "left")
+    proven = proof_holds(F.unhex(F.sha2("bytes", 256)), F.coalesce("steps", F.array().cast(got.schema["steps"].dataType)), "__r")
+    return met.select(*got.columns, "ok", proven.alias("proven"), (F.col("ok") & proven).alias("full_ok"))
+
+
 def rebuild_status(chunks: DataFrame, held: DataFrame, tree: str, key: str, stated_size: DataFrame | None = None) -> DataFrame:
     """``(tree, n_chunks, n_bytes, first_bad, error)``: what rebuilding from the store would give.
 

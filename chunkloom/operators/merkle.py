@@ -2,7 +2,9 @@
 
 An odd node of a level is carried up unchanged. Trees are folded in aligned blocks
 of ``FAN`` leaves (a power of two): a block's fold is a node of the tree, so a tree
-of any size takes a few rounds of groups of at most ``FAN`` hashes.
+of any size takes a few rounds of groups of at most ``FAN`` hashes: as many as the
+tallest tree needs. ``most`` bounds the leaves of a tree where the caller knows a bound
+(the rows of the table, say); otherwise the largest position is looked up first.
 """
 
 from __future__ import annotations
@@ -13,8 +15,18 @@ from chunkloom.functions.digest import empty_root, inner_node, leaf_node
 
 FAN_LEVELS = 10
 FAN = 1 << FAN_LEVELS
-#: Rounds of folding: trees of up to FAN ** ROUNDS leaves.
-ROUNDS = 4
+
+
+def rounds_for(most: int) -> int:
+    """Rounds of folding that trees of up to so many leaves take."""
+    rounds = 1
+    while FAN**rounds < most:
+        rounds += 1
+    return rounds
+
+
+def _most(leaves: DataFrame, index: str, most: int | None) -> int:
+    return most if most is not None else (leaves.agg(F.max(index)).first()[0] or 0) + 1
 
 
 def next_level(nodes: Column) -> Column:
@@ -36,32 +48,35 @@ def _fold_blocks(nodes: DataFrame) -> DataFrame:
     return lists.select("tree", F.col("b").alias("i"), fold_array(F.transform("l", lambda x: x["h"])).alias("h"))
 
 
-def merkle_roots(leaves: DataFrame, tree: str, index: str, chunk_hash: str) -> DataFrame:
+def merkle_roots(leaves: DataFrame, tree: str, index: str, chunk_hash: str, most: int | None = None) -> DataFrame:
     """``(tree, root)`` of each tree from its chunk hashes, at dense positions 0, 1, ...
 
     A tree without rows has no row here; its root is ``empty_root()``. Null hashes are
-    not allowed: give every leaf a hash first. Null trees are one tree.
+    not allowed: give every leaf a hash first. Null trees are one tree. A tree of more
+    than ``most`` leaves that takes another round raises.
     """
     nodes = leaves.select(F.col(tree).alias("tree"), F.col(index).cast("bigint").alias("i"), leaf_node(chunk_hash).alias("h"))
-    for _ in range(ROUNDS):
+    for _ in range(rounds_for(_most(leaves, index, most))):
         nodes = _fold_blocks(nodes)
-    return nodes.select(F.col("tree").alias(tree), F.col("h").alias("root"))
+    root = F.when(F.col("i") == 0, F.col("h")).otherwise(F.raise_error(F.lit("a tree has more leaves than stated")))
+    return nodes.select(F.col("tree").alias(tree), root.alias("root"))
 
 
-def merkle_nodes(leaves: DataFrame, tree: str, index: str, chunk_hash: str) -> DataFrame:
+def merkle_nodes(leaves: DataFrame, tree: str, index: str, chunk_hash: str, most: int | None = None) -> DataFrame:
     """All nodes ``(tree, level, i, h)``, level 0 the leaf nodes; carried nodes are listed on every level.
 
     Blocks give ``FAN_LEVELS`` levels at once; their tops are the leaves of the next
-    round. Trees of up to FAN ** 3 leaves.
+    round. A tree's levels end with its root. ``most`` as in ``merkle_roots``.
     """
     base = leaves.select(F.col(tree).alias("tree"), F.col(index).cast("bigint").alias("i"), leaf_node(chunk_hash).alias("h"))
     height = base.groupBy(F.col("tree").alias("t")).agg(F.ceil(F.log2(F.count("*").cast("double"))).cast("int").alias("height"))
+    top = _most(leaves, index, most)
     out, low = base.select("tree", F.lit(0).alias("level"), "i", "h"), 0
-    for _ in range(3):
+    for _ in range(rounds_for(top)):
         block = F.floor(F.col("i") / FAN).cast("bigint")
         lists = base.groupBy("tree", block.alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("l"))
         stack = F.aggregate(
-            F.sequence(F.lit(1), F.lit(FAN_LEVELS)), F.array(F.transform("l", lambda x: x["h"])),
+            F.sequence(F.lit(1), F.lit(max(1, min(FAN_LEVELS, (top - 1).bit_length() - low)))), F.array(F.transform("l", lambda x: x["h"])),
             lambda acc, _: F.array_append(acc, next_level(F.element_at(acc, -1))),
         )
         each = lists.select("tree", "b", F.posexplode(stack).alias("k", "nodes")).where(F.col("k") > 0)
@@ -71,7 +86,8 @@ def merkle_nodes(leaves: DataFrame, tree: str, index: str, chunk_hash: str) -> D
         out = out.unionByName(upper)
         base = lists.select("tree", F.col("b").alias("i"), fold_array(F.transform("l", lambda x: x["h"])).alias("h"))
         low += FAN_LEVELS
-    kept = out.join(height, F.col("tree").eqNullSafe(F.col("t"))).where(F.col("level") <= F.col("height"))
+    small = F.when(F.col("height") <= (top - 1).bit_length(), F.col("height")).otherwise(F.raise_error(F.lit("a tree has more leaves than stated")))
+    kept = out.join(height, F.col("tree").eqNullSafe(F.col("t"))).where(F.col("level") <= small)
     return kept.select(F.col("tree").alias(tree), "level", F.col("i"), "h")
 
 
@@ -83,9 +99,11 @@ def merkle_proofs(nodes: DataFrame, tree: str, asked: DataFrame, index: str) ->
     tens at most.
     """
     known = nodes.select(F.col(tree).alias("t"), "level", F.col("i").alias("n"), "h")
-    there = known.where("level = 0").select(F.col("t").alias("lt"), F.col("n").alias("ln"))
-    probe = asked.select(F.col(tree).alias("at"), F.col(index).cast("bigint").alias("ai")).join(there, F.col("at").eqNullSafe(F.col("lt")) & (F.col("ai") == F.col("ln")), "left_semi")
-    levels = probe.select("at", "ai", F.explode(F.sequence(F.lit(0), F.lit(3 * FAN_LEVELS - 1))).alias("k"))
+    # the root's level and the number of leaves, so each leaf has a row per level of its own tree
+    there = known.groupBy(F.col("t").alias("lt")).agg(F.max("level").alias("height"), F.count_if(F.col("level") == 0).alias("n_leaves"))
+    probe = asked.select(F.col(tree).alias("at"), F.col(index).cast("bigint").alias("ai")).join(there, F.col("at").eqNullSafe(F.col("lt")))
+    inside = probe.where((F.col("ai") >= 0) & (F.col("ai") < F.col("n_leaves")))
+    levels = inside.select("at", "ai", F.explode(F.sequence(F.lit(0), F.greatest(F.col("height") - 1, F.lit(0)))).alias("k"))
     path = levels.withColumn("own", F.expr("shiftright(ai, k)"))
     sibling = F.col("own").bitwiseXOR(F.lit(1).cast("bigint"))
     # above the root there are no nodes, so the root finds no sibling

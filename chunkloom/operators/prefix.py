@@ -7,6 +7,11 @@ per (group, block) adds what came before the block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Width of a block in units of the order column, which is unique in a group: rows of a block at most.
@@ -34,3 +39,13 @@ def running_total(df: DataFrame, group: str, order: str, value: Column, name: st
 def dense_index(df: DataFrame, group: str, order: str, name: str = "idx", block: int = BLOCK) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... in the order of ``order`` within each group."""
     return running_total(df, group, order, F.lit(1), name, block)
+
+
+def group_spans(column: pa.Array) -> Iterator[tuple[Any, int, int]]:
+    """(value, start, end) of the stretches of equal values of a column, nulls equal to each other."""
+    codes = column.dictionary_encode(null_encoding="encode")
+    names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+    if len(code):
+        cuts = np.flatnonzero(np.diff(code)) + 1
+        for start, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(code)].tolist(), strict=True):
+            yield names[code[start]], start, end

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chunkloom.operators.prefix import group_spans
+
 # Commands and their required fields (a container is given as ``manifest``).
 REQUIRED = {"fetch": ["uri", "out"], "torrent": ["input"], "provide": ["manifest"], "unprovide": ["root"], "status": [], "shutdown": []}
 OPTIONAL, CONVERT, CONVERT_SHAPES = {"torrent": ["out"]}, ["torrent", "data", "path"], [("STRING", "STRING", "VOID"), ("VOID", "VOID", "STRING")]
@@ -88,20 +90,29 @@ def throttled(updates: DataFrame, op: str, at_ms: str, order: str, complete: str
     """``(order, emitted)``: the first update of each operation, then those ``interval`` after the last emitted; completions always.
 
     Each decision rests on the one before, so rows stream through a fold, sorted by
-    the shuffle, with one number of state per operation.
+    the shuffle, with one number of state per operation; it leaps from one emitted
+    update to the next. Times must not be null.
     """
     slim = updates.select(F.col(op).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(at_ms).cast("bigint").alias("t"), F.coalesce(complete, F.lit(False)).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = None, 0
         for b in batches:
-            out = np.zeros(b.num_rows, bool)
-            for i, (g, t, c) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                first = (g,) != at
-                if first:
-                    at = (g,)
-                if first or c or t - last >= interval:
-                    out[i], last = True, t
+            time, done = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            out = done.copy()
+            for name, start, end in group_spans(b.column(0)):
+                ends = np.r_[np.flatnonzero(done[start:end]) + start, end]
+                k = start
+                if (name,) == at:  # the first update that is due
+                    k += int(np.searchsorted(time[start:end], last + interval))
+                at = (name,)
+                while True:  # from one emitted update to the next
+                    k = min(k, int(ends[np.searchsorted(ends, start)]))  # or a completion before
+                    if k >= end:
+                        break
+                    out[k], last = True, int(time[k])
+                    start = k + 1
+                    k = start + int(np.searchsorted(time[start:end], last + interval))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out)], names=[order, "emitted"])
 
     return slim.repartition("g").sortWithinPartitions("g", "t", "o").mapInArrow(run, f"{order} bigint, emitted boolean")

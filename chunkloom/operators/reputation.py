@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chunkloom.operators.prefix import dense_index, running_total
+from chunkloom.functions.identity import public_key_udf, sign_udf, verify_udf
+from chunkloom.operators.prefix import dense_index, group_spans, running_total
 
 #: Receipts a peer keeps; tag of the signed bytes.
 BAG_SIZE, RECEIPT_TAG = 50, b"chunkloom-receipt-v1"
@@ -60,6 +61,22 @@ def canonical_bytes(server: Column, client: Column, n_bytes: Column, epoch: Colu
     return F.concat(F.lit(tag), server, client, _little_endian(n_bytes), _little_endian(epoch))
 
 
+def issued_receipts(rows: DataFrame, seed: str) -> DataFrame:
+    """``rows (server, bytes, epoch, seed)`` with ``client`` and ``sig``: the client, whose secret ``seed`` is given, signs for what it received.
+
+    ``server`` is a public key of 32 bytes. A null in any signed field or a seed of
+    another size gives a null signature.
+    """
+    keyed = rows.withColumn("client", public_key_udf(seed))
+    return keyed.withColumn("sig", sign_udf(F.col(seed), canonical_bytes(F.col("server"), F.col("client"), F.col("bytes"), F.col("epoch"))))
+
+
+def verified_receipts(receipts: DataFrame) -> DataFrame:
+    """``receipts (server, client, bytes, epoch, sig)`` with ``sig_ok``: the client's signature over exactly these fields."""
+    message = canonical_bytes(F.col("server"), F.col("client"), F.col("bytes"), F.col("epoch"))
+    return receipts.withColumn("sig_ok", verify_udf("client", message, "sig"))
+
+
 def receipt_bag(receipts: DataFrame, holder: str, identity: list[str], size: str, arrival: str, keep: int = BAG_SIZE) -> DataFrame:
     """What each holder keeps: exact duplicates dropped, the ``keep`` largest, ties to the earlier.
 
@@ -103,21 +120,51 @@ def choke_admission(requests: DataFrame, group: str, order: str, size: str, cred
     return placed.withColumn("admitted", ok)
 
 
+def _first_below(sums: np.ndarray, start: int, limit: int) -> int:
+    """The first position from ``start`` with a sum below ``limit``; the length if there's none."""
+    width = 256
+    while start < len(sums):
+        below = np.flatnonzero(sums[start : start + width] < limit)
+        if len(below):
+            return start + int(below[0])
+        start, width = start + width, 4 * width
+    return len(sums)
+
+
+def _judge(credit: np.ndarray, size: np.ndarray, balance: int, threshold: int, out: np.ndarray) -> int:
+    """Marks the refused requests of one group's next rows in ``out``; returns the balance after them.
+
+    While the peer is served all rows count, up to the one that takes the balance below
+    the limit; then only credits count, up to the one that lifts it again. Both ends are
+    found in running sums, so the loop turns once per change and not once per row.
+    """
+    both, credits = np.cumsum(np.where(credit, size, -size)), np.cumsum(np.where(credit, size, 0))
+    at, n = 0, len(size)
+    while at < n:
+        if balance >= -threshold:
+            base = int(both[at - 1]) if at else 0
+            end = _first_below(both, at, base - threshold - balance)
+            last = min(end, n - 1)
+            balance += int(both[last]) - base
+        else:
+            base = int(credits[at - 1]) if at else 0
+            last = min(int(np.searchsorted(credits, base - threshold - balance)), n - 1)
+            out[at : last + 1] = credit[at : last + 1]
+            balance += int(credits[last]) - base
+        at = last + 1
+    return balance
+
+
 def _fold_choke(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, balance = None, 0
         for b in batches:
-            groups, credits, sizes = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            out = np.ones(len(groups), bool)
-            for i, (g, credit, n) in enumerate(zip(groups, credits, sizes, strict=True)):
-                if (g,) != at:
-                    at, balance = (g,), 0
-                if credit:
-                    balance += n
-                elif balance >= -threshold:
-                    balance -= n
-                else:
-                    out[i] = False
+            credit, size = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            out = np.ones(b.num_rows, bool)
+            for name, start, end in group_spans(b.column(0)):
+                if (name,) != at:
+                    at, balance = (name,), 0
+                balance = _judge(credit[start:end], size[start:end], balance, threshold, out[start:end])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out)], names=["__o", "admitted"])
 
     return run

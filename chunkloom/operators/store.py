@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chunkloom.operators.prefix import running_total
+from chunkloom.operators.prefix import group_spans, running_total
 
 #: A pack is closed before a write once it holds so many bytes.
 PACK_BYTES = 256 << 20
@@ -96,6 +96,22 @@ def parse_index_lines(lines: DataFrame, line: str, number: str) -> DataFrame:
     return last.select("hash", "l.*")
 
 
+def parse_reference_lines(lines: DataFrame, line: str, number: str) -> DataFrame:
+    """``(hash, offset, length, path)`` of tab-separated lines of referenced chunks; the path is whatever follows the third tab.
+
+    Malformed lines (a torn last one, say) are skipped; the last line of a hash wins.
+    """
+    f = F.split(line, "\t", 4)
+    cols = lines.select(F.col(number).alias("__n"), *(F.get(f, i).alias(c) for i, c in enumerate(("h", "a", "b", "path"))))
+    unsigned = lambda c: F.when(F.col(c).rlike(r"\A[0-9]+\z"), F.col(c).try_cast("bigint"))
+    typed = cols.select(
+        "__n", F.when(F.col("h").rlike(r"\A[0-9a-fA-F]{64}\z"), F.lower("h")).alias("hash"), unsigned("a").alias("offset"),
+        F.when(unsigned("b") < 2**32, unsigned("b")).alias("length"), "path",
+    ).dropna()
+    last = typed.groupBy("hash").agg(F.max_by(F.struct("offset", "length", "path"), "__n").alias("l"))
+    return last.select("hash", "l.*")
+
+
 def shard_path(hash_text: Column) -> Column:
     """Path of a singly stored object: ``objects/`` two digits ``/`` the whole hash."""
     return F.concat_ws("/", F.lit("objects"), F.substring(hash_text, 1, 2), hash_text)
@@ -105,6 +121,10 @@ def index_line(key: Column, pack: Column, offset: Column, length: Column) -> Col
     return F.concat_ws("\t", key, pack.cast("string"), offset.cast("string"), length.cast("string"))
 
 
+def reference_line(key: Column, offset: Column, length: Column, path: Column) -> Column:
+    return F.concat_ws("\t", key, offset.cast("string"), length.cast("string"), path)
+
+
 def pack_placement(chunks: DataFrame, writer: str, order: str, length: str, cap: int = PACK_BYTES) -> DataFrame:
     """``(writer, order, pack_no, pack_offset, length)``: packs filled in order, a new one begun once the last holds ``cap``.
 
@@ -118,14 +138,11 @@ def pack_placement(chunks: DataFrame, writer: str, order: str, length: str, cap:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pack, used = None, 0, 0
         for b in batches:
-            w = b.column(0)
-            n = b.column(2).to_numpy(zero_copy_only=False)
-            codes = w.dictionary_encode(null_encoding="encode")
-            names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+            w, n = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
             packs, offsets = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-            for start, end in _spans(code):
-                if (name := (names[code[start]],)) != at:
-                    at, pack, used = name, 0, 0
+            for name, start, end in group_spans(w):
+                if (name,) != at:
+                    at, pack, used = (name,), 0, 0
                 while start < end:
                     # all rows up to the one that fills the pack go into it
                     before = used + np.cumsum(n[start:end]) - n[start:end]
@@ -141,13 +158,6 @@ def pack_placement(chunks: DataFrame, writer: str, order: str, length: str, cap:
     return slim.repartition("w").sortWithinPartitions("w", "o").mapInArrow(run, f"{writer} {kind}, {order} bigint, pack_no bigint, pack_offset bigint, length bigint")
 
 
-def _spans(code: np.ndarray) -> list[tuple[int, int]]:
-    if not len(code):
-        return []
-    cuts = np.flatnonzero(np.diff(code)) + 1
-    return list(zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(code)].tolist(), strict=True))
-
-
 def registry(manifests: DataFrame, key: str, order: str) -> DataFrame:
     """One manifest per key: the first by the unique ``order``; registering again changes nothing."""
     first = manifests.groupBy(key).agg(F.min(order).alias("__o")).select("__o")

@@ -12,7 +12,8 @@ from chunkloom.functions import digest as dg
 from chunkloom.functions.keys import hex_key, hex_text
 from chunkloom.operators import chunking as ck, manifest as mf, merkle as mk, store as st
 from chunkloom.operators.prefix import dense_index, running_total
-from chunkloom.session import table
+from chunkloom.session import materialize, shared_dir, table
+from chunkloom.sources.streams import read_slices, write_files
 
 #: Chunk sizes that suit documents of some kilobytes; bytes of a piece; bytes after which a pack is closed.
 LEAST, AVERAGE, MOST = 256, 1024, 4096
@@ -29,6 +30,11 @@ def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(docs, "tree", "doc_id")
 
 
+def _most(spark: SparkSession, sf_dir: str) -> int:
+    """No tree of documents has more leaves than there are documents: a count from file footers."""
+    return table(spark, sf_dir, "documents").count()
+
+
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = dg.content_hash("data")
     return _docs(spark, sf_dir).select("doc_id", dg.hash_text(h).alias("hash"), dg.short_form(h).alias("short_form"))
@@ -46,25 +52,25 @@ def node_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merkle_root_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mk.merkle_roots(_leaves(spark, sf_dir), "tree", "idx", "h").select("tree", dg.hash_text("root").alias("root"))
+    return mk.merkle_roots(_leaves(spark, sf_dir), "tree", "idx", "h", _most(spark, sf_dir)).select("tree", dg.hash_text("root").alias("root"))
 
 
 def merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = mk.merkle_nodes(_leaves(spark, sf_dir), "tree", "idx", "h")
+    nodes = mk.merkle_nodes(_leaves(spark, sf_dir), "tree", "idx", "h", _most(spark, sf_dir))
     return nodes.select("tree", "level", "i", dg.hash_text("h").alias("h"))
 
 
 def merkle_proof_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = _leaves(spark, sf_dir)
-    proofs = mk.merkle_proofs(mk.merkle_nodes(leaves, "tree", "idx", "h"), "tree", leaves, "idx")
+    proofs = mk.merkle_proofs(mk.merkle_nodes(leaves, "tree", "idx", "h", _most(spark, sf_dir)), "tree", leaves, "idx")
     steps = proofs.select("tree", "idx", F.posexplode("steps").alias("step_no", "s"))
     return steps.select("tree", "idx", "step_no", "s.sibling_on_left", dg.hash_text("s.hash").alias("hash"))
 
 
 def merkle_verify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = _leaves(spark, sf_dir)
-    proofs = mk.merkle_proofs(mk.merkle_nodes(leaves, "tree", "idx", "h"), "tree", leaves, "idx").withColumnsRenamed({"tree": "t", "idx": "i"})
-    roots = mk.merkle_roots(leaves, "tree", "idx", "h").withColumnRenamed("tree", "rt")
+    proofs = mk.merkle_proofs(mk.merkle_nodes(leaves, "tree", "idx", "h", _most(spark, sf_dir)), "tree", leaves, "idx").withColumnsRenamed({"tree": "t", "idx": "i"})
+    roots = mk.merkle_roots(leaves, "tree", "idx", "h", _most(spark, sf_dir)).withColumnRenamed("tree", "rt")
     met = leaves.join(proofs, (F.col("tree") == F.col("t")) & (F.col("idx") == F.col("i"))).join(roots, F.col("tree") == F.col("rt"))
     return met.select("doc_id", mk.proof_holds("h", "steps", "root").alias("holds"), mk.proof_holds(dg.leaf_node("h"), "steps", "root").alias("forged_holds"))
 
@@ -134,7 +140,7 @@ def root_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = _arrived(spark, sf_dir).select("root", "ordinal", F.coalesce(dg.hash_from_text("hash"), dg.content_hash(F.coalesce("hash", F.lit("")))).alias("h"))
     placed = dense_index(leaves, "root", "ordinal")
     stated = _registered(spark, sf_dir).select("root", dg.hash_from_text("root").alias("stated"))
-    out = mf.consistent(stated, placed.select(F.col("root"), F.col("idx").alias("ordinal"), F.col("h").alias("hash")), "root", "stated")
+    out = mf.consistent(stated, placed.select(F.col("root"), F.col("idx").alias("ordinal"), F.col("h").alias("hash")), "root", "stated", table(spark, sf_dir, "chunk_refs").count())
     return out.select("root", dg.hash_text("folded").alias("folded"), "is_consistent")
 
 
@@ -234,6 +240,45 @@ def refs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.parse_index_lines(lines, "line", "line_id")
 
 
+def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of referenced chunks as text, with damage and paths that hold tabs, parsed again; the last line of a hash wins."""
+    r = table(spark, sf_dir, "chunk_refs")
+    path = F.concat(F.lit("/srv/"), F.coalesce("site", F.lit("?")), F.when(F.col("ref_id") % 3 == 0, "\tb").otherwise("/b"))
+    fields = F.concat_ws("\t", "hash", F.coalesce(F.col("chunk_offset").cast("string"), F.lit("-")), F.coalesce(F.col("chunk_length").cast("string"), F.lit("?")))
+    line = F.when(F.col("ref_id") % 7 == 0, fields).otherwise(F.concat_ws("\t", fields, path))
+    return st.parse_reference_lines(r.where(F.col("hash").isNotNull()).select("ref_id", line.alias("line")), "line", "ref_id")
+
+
+def pack_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts put into pack files, read back by place and checked; places of hashes that end in 7 are a byte off."""
+    docs = _docs(spark, sf_dir).where(F.length("data") > 0)
+    new = docs.groupBy(dg.content_hash("data").alias("hash")).agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.join(new, "doc_id").select("hash", "data", F.pmod("doc_id", F.lit(8)).alias("writer"), "doc_id", F.length("data").cast("bigint").alias("length"))
+    placed = materialize(st.pack_placement(texts.select("writer", "doc_id", "length"), "writer", "doc_id", "length", PACK), "placed")
+    name = F.concat("w", F.lit("-"), "p", F.lit(".pack"))
+    parts = placed.select(F.col("writer").alias("w"), F.col("doc_id").alias("d"), F.col("pack_no").alias("p"), F.col("pack_offset").alias("at"), F.col("length").alias("n"))
+    folder = shared_dir(spark, "packs")
+    write_files(parts.join(texts, F.col("d") == F.col("doc_id")).select(name.alias("path"), F.col("at").alias("ordinal"), "data"), folder)
+    off = F.when(F.lower(F.hex("hash")).endswith("7"), 1).otherwise(0)
+    index = parts.join(texts.select("hash", "doc_id"), F.col("d") == F.col("doc_id")).select("hash", F.concat(F.lit(folder + "/"), name).alias("uri"), (F.col("at") + off).alias("at"), "n")
+    return read_slices(index, "hash", "uri", "at", "n").select(dg.hash_text("hash").alias("hash"), F.length("bytes").cast("bigint").alias("length"), "error")
+
+
+def chunk_full_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts received with their proofs, some changed, some with a shortened proof, some under another number, checked cheaply and in full."""
+    leaves = _leaves(spark, sf_dir)
+    proofs = mk.merkle_proofs(mk.merkle_nodes(leaves, "tree", "idx", "h", _most(spark, sf_dir)), "tree", leaves, "idx").withColumnsRenamed({"tree": "t", "idx": "i"})
+    met = leaves.join(proofs, (F.col("tree") == F.col("t")) & (F.col("idx") == F.col("i"))).join(_docs(spark, sf_dir).select(F.col("doc_id").alias("d"), "data"), F.col("doc_id") == F.col("d"))
+    case = F.col("doc_id") % 10
+    got = met.select(
+        "doc_id", "tree", F.when(case == 2, F.col("idx") + (1 << 40)).otherwise(F.col("idx")).alias("ordinal"), F.when(case == 3, F.concat("data", F.lit(b"x"))).otherwise(F.col("data")).alias("bytes"),
+        F.when(case == 4, F.expr("slice(steps, 1, greatest(size(steps) - 1, 0))")).otherwise(F.col("steps")).alias("steps"),
+    )
+    roots = mk.merkle_roots(leaves, "tree", "idx", "h", _most(spark, sf_dir))
+    told = mf.full_checks(leaves.select("tree", F.col("idx").alias("ordinal"), F.col("h").alias("hash")), got, roots, "tree")
+    return told.select("doc_id", "ok", "proven", "full_ok")
+
+
 def shard_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "base_chunks").select(hex_text("hash").alias("hash"), st.shard_path(hex_text("hash")).alias("path"))
 
@@ -253,7 +298,7 @@ QUERIES = {
         content_hash, hex_roundtrip, node_hashes, merkle_root_by_source, merkle_levels, merkle_proof_steps, merkle_verify_all, cdc_chunks, cdc_cover,
         fixed_pieces_sha1, piece_verify, manifest_layout, manifest_files, root_consistency, manifest_uri, chunk_offsets, reconstruct_check, split_stream,
         info_top_files, tree_shape, path_safety, store_has, store_put_is_new, store_get, object_count, dedup_by_site, ingest_progress, refs_parse,
-        shard_path, pack_rotation, manifest_registry,
+        shard_path, pack_rotation, manifest_registry, reference_lines, pack_reads, chunk_full_check,
     )
 }
 
@@ -353,6 +398,11 @@ FROM chunk_refs r LEFT JOIN ({_HELD}) p ON {_t('r.hash')} = p.h LEFT JOIN ({_BAS
 CAST(sum(coalesce(chunk_length, 0)) OVER (PARTITION BY root) AS BIGINT) AS bytes_total, hash IS NOT NULL AND row_number() OVER (PARTITION BY hash ORDER BY ref_id) = 1 AS is_new FROM ({_ARRIVED})""",
     "refs_parse": f"""SELECT hash, pack_id, pack_offset, length FROM (SELECT lower(hash) AS hash, pack_id, pack_offset, chunk_length AS length,
 row_number() OVER (PARTITION BY lower(hash) ORDER BY line_id DESC) AS nr FROM chunk_index WHERE regexp_full_match(hash, '[0-9a-fA-F]{{64}}') AND pack_id IS NOT NULL AND pack_offset IS NOT NULL AND chunk_length IS NOT NULL) WHERE nr = 1""",
+    "reference_lines": f"""SELECT hash, "offset", length, path FROM (SELECT lower(hash) AS hash, chunk_offset AS "offset", chunk_length AS length, '/srv/' || coalesce(site, '?') || CASE WHEN ref_id % 3 = 0 THEN E'\\tb' ELSE '/b' END AS path,
+row_number() OVER (PARTITION BY lower(hash) ORDER BY ref_id DESC) AS nr FROM chunk_refs WHERE regexp_full_match(hash, '[0-9a-fA-F]{{64}}') AND chunk_offset >= 0 AND chunk_length >= 0 AND ref_id % 7 <> 0) WHERE nr = 1""",
+    "pack_reads": f"""SELECT DISTINCT sha256(txt) AS hash, CASE WHEN sha256(txt) NOT LIKE '%7' THEN strlen(txt) END AS length, CASE WHEN sha256(txt) LIKE '%7' THEN 'Corrupt' END AS error FROM ({_DOCS}) WHERE txt <> ''""",
+    "chunk_full_check": f"""SELECT doc_id, doc_id % 10 NOT IN (2, 3) AS ok, proven, proven AND doc_id % 10 NOT IN (2, 3) AS full_ok FROM
+(SELECT doc_id, doc_id % 10 <> 3 AND (doc_id % 10 <> 4 OR count(*) OVER (PARTITION BY tree) = 1) AS proven FROM ({_DOCS}))""",
     "shard_path": f"SELECT {_t('hash')} AS hash, 'objects/' || substr({_t('hash')}, 1, 2) || '/' || {_t('hash')} AS path FROM base_chunks",
     "pack_rotation": f"""WITH RECURSIVE c AS MATERIALIZED (SELECT root, ordinal, coalesce(chunk_length, 0) AS len, row_number() OVER (PARTITION BY root ORDER BY ordinal) AS nr FROM ({_ARRIVED})),
 f AS (SELECT root, ordinal, nr, CAST(0 AS BIGINT) AS pack_no, CAST(0 AS BIGINT) AS pack_offset, len FROM c WHERE nr = 1

