@@ -12,10 +12,31 @@ block). Positions of parents are compressed on the map side into 64-bit masks.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Parents of one mask word; words of one block, so a block has 65 536 positions.
 WORD_BITS, BLOCK_WORDS = 64, 1024
+#: Rows that a block of the most frequent key should have; buckets that keys are counted in.
+BLOCK_ROWS, COUNT_BUCKETS = 1 << 15, 1 << 16
+
+
+def block_width(*tables: tuple[DataFrame, str, str], rows: int = BLOCK_ROWS) -> int:
+    """A width of position blocks that gives the most frequent key about ``rows`` rows a block, if they lie evenly.
+
+    ``tables`` are (rows, key, position). The most frequent key is estimated from counts
+    of keys in hashed buckets, less an even share; the estimate only sets the width, so
+    it grows no task however large the tables and never changes a result.
+    """
+    picked = [df.where(F.col(k).isNotNull() & F.col(p).isNotNull()).select(F.lit(i).alias("t"), F.pmod(F.xxhash64(k), F.lit(COUNT_BUCKETS)).alias("b"), F.col(p).cast("bigint").alias("p")) for i, (df, k, p) in enumerate(tables)]
+    each = reduce(DataFrame.unionByName, picked).groupBy("t", "b").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"))
+    told = each.groupBy("t").agg((F.max("n") - F.sum("n") / COUNT_BUCKETS).alias("hot"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    if not told:
+        return 1
+    span = max(r["high"] for r in told) - min(r["low"] for r in told) + 1
+    return max(1, -(-span // max(1, math.ceil(max(r["hot"] for r in told) / rows))))
 
 
 def compress_runs(parents: DataFrame, key: str, pos: str) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chunkloom.functions.keys import hex_key, hex_of_key, hex_text
 from chunkloom.operators.dense_totals import dense_distinct, dense_totals
 from chunkloom.operators.message_store import MessageStore, merge_in_waves, surplus
-from chunkloom.operators.orphan_refs import compress_runs, range_orphans, state_orphans, state_runs
+from chunkloom.operators.orphan_refs import block_width, compress_runs, range_orphans, state_orphans, state_runs
 from chunkloom.session import materialize, shared_dir, table
 
-#: Batches that the whole table of receipts is fed in; block of the as-of match in microseconds.
-WAVES, TIME_BLOCK = 3, 6 * 3_600_000_000
+#: Batches that the whole table of receipts is fed in.
+WAVES = 3
 #: Share of all rows from which a key counts as hot.
 HOT_SHARE = 0.01
 
@@ -52,9 +52,11 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
         base.select(hex_key("hash").alias("key")), "key", "left_anti"
     )
     lines = log.select(hex_key("hash").alias("key"), _micros("indexed_at").alias("at"), "line_id", (F.col("line_op") == "put").alias("put"))
+    # the spelling of a hash doesn't matter for the width
+    width = block_width((refs.select("hash", _micros("recorded_at").alias("at")), "hash", "at"), (log.select("hash", _micros("indexed_at").alias("at")), "hash", "at"))
     # runs are used twice in a match: as starts and as what earlier blocks carry over
-    held = materialize(state_runs(lines, "key", "at", "line_id", F.coalesce("put", F.lit(False)), TIME_BLOCK), "held")
-    of_chunks = state_orphans(asked, held, "key", "at", TIME_BLOCK)
+    held = materialize(state_runs(lines, "key", "at", "line_id", F.coalesce("put", F.lit(False)), width), "held")
+    of_chunks = state_orphans(asked, held, "key", "at", width)
     runs = materialize(compress_runs(refs.select(hex_key("root").alias("key"), "ordinal"), "key", "ordinal"), "runs")
     wanted = entries.select(hex_key("root").alias("key"), "chunk_start", "chunk_count", "entry_id", _micros("recorded_at").alias("at"))
     of_files = range_orphans(wanted, runs, "key", "chunk_start", "chunk_count")

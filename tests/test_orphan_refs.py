@@ -72,3 +72,14 @@ def test_state_references_match_brute_force(spark, block):
     assert got.columns == df.columns and sorted(r["i"] for r in got.collect()) == lost
     none = op.state_orphans(df, runs.limit(0), "row", "p", block)
     assert none.count() == sum(k is not None for _, k, _ in refs)
+
+
+def test_blocks_follow_the_rows_of_the_most_frequent_key(spark):
+    hot = [("hot", i) for i in range(0, 4000)] + [(f"k{i}", i) for i in range(1000)] + [(None, 10**9), ("k1", None)]
+    df = spark.createDataFrame(hot, "k string, p bigint")
+    few = spark.createDataFrame([("k1", -1000), ("k2", 9000)], "k string, p bigint")
+    width = op.block_width((df, "k", "p"), (few, "k", "p"), rows=100)
+    assert 240 <= width <= 260  # 10 001 positions, about 40 blocks of 100 rows of the hot key
+    twice = df.unionByName(df.withColumn("p", F.col("p") + 4000))
+    assert op.block_width((twice, "k", "p"), (few, "k", "p"), rows=100) < 0.6 * width
+    assert op.block_width((df.limit(0), "k", "p")) == 1 and op.block_width((few, "k", "p")) == 10_001
