@@ -3,8 +3,9 @@
 Keys of each equal input split are dictionary-encoded and reduced into dense numpy
 arrays (bincount for counts, scatter-reduce for sums, minima and maxima). The
 arrays, one slot per distinct key of a split, are then summed by a second
-distributed reduction over blocks of keys. A key with a third of all rows sends
-one slot per ``SPLIT_ROWS`` rows, like any other key.
+distributed reduction over blocks of keys, which come sorted, so a task holds the
+slots of one batch. A key with a third of all rows sends one slot per ``SPLIT_ROWS``
+rows, like any other key.
 """
 
 from __future__ import annotations
@@ -80,19 +81,16 @@ def dense_totals(
             yield _reduce(pa.Table.from_batches(held), *args, held[0].schema)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        fresh = base = 0
+        open_key: list[pa.RecordBatch] = []
         for b in batches:
-            held.append(b)
-            fresh += b.num_rows
-            if fresh >= max(SPLIT_ROWS, base):  # arrays grow with the block's keys, not with its rows
-                held = [_reduce(pa.Table.from_batches(held), *args, held[0].schema)]
-                fresh, base = 0, held[0].num_rows
-        if held:
-            yield _reduce(pa.Table.from_batches(held), *args, held[0].schema)
+            done = _reduce(pa.Table.from_batches([*open_key, b]), *args, b.schema)
+            if done.num_rows > 1:
+                yield done.slice(0, done.num_rows - 1)
+            open_key = [done.slice(done.num_rows - 1)] if done.num_rows else open_key  # may go on in the next batch
+        yield from open_key
 
     partial = picked.mapInArrow(split, schema)
-    return partial.repartition("key").mapInArrow(block, schema).withColumnRenamed("key", key)
+    return partial.repartition("key").sortWithinPartitions("key").mapInArrow(block, schema).withColumnRenamed("key", key)
 
 
 def dense_distinct(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
