@@ -200,16 +200,19 @@ def decode_symbols(symbols: DataFrame, root: str, symbol: int = SYMBOL) -> DataF
 
     Symbols are brought together per block, so a task never gets more than one block's
     (repeated symbols aside, which are dropped as they come); null roots are one content.
+    Symbols of another length don't count, those of an unknown size are left out.
     """
     kind = symbols.schema[root].dataType.simpleString()
     k = F.greatest(F.lit(1), F.ceil(F.col("size") / symbol)).cast("bigint")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / (symbol * BLOCK))).cast("bigint")
     turn = F.when(F.col("esi") < k, F.col("esi")).otherwise(F.col("esi") - k)
-    dealt = symbols.where((F.length("payload") == symbol) & (F.col("size") > 0)).select(F.col(root).alias("root"), F.col("size").cast("bigint").alias("size"), F.pmod(turn, blocks).alias("block"), F.col("esi").cast("bigint").alias("esi"), "payload")
+    dealt = symbols.where(F.col("size") >= 0).select(F.col(root).alias("root"), F.col("size").cast("bigint").alias("size"), F.pmod(turn, blocks).alias("block"), F.col("esi").cast("bigint").alias("esi"), "payload")
     placed = dealt.repartition("root", "block").sortWithinPartitions("root", "block", "esi")
 
-    def solve(own: dict) -> tuple[bytes | None, int]:
+    def solve(own: dict) -> bytes | None:
         size, esi = own["size"], np.array(own["esi"], np.int64)
+        if size == 0:
+            return b""
         total, begins = _shape(size, symbol)
         number = _place(esi, total, len(begins) - 1)[1]
         b = own["block"]
@@ -232,7 +235,7 @@ def decode_symbols(symbols: DataFrame, root: str, symbol: int = SYMBOL) -> DataF
                     if own is not None:
                         done.append((own["root"], own["size"], own["block"], solve(own)))
                     own = {"root": r, "size": size, "block": block, "esi": [], "payload": []}
-                if not own["esi"] or own["esi"][-1] != esi:
+                if payload is not None and len(payload) == symbol and (not own["esi"] or own["esi"][-1] != esi):
                     own["esi"].append(esi)
                     own["payload"].append(payload)
             if done:
@@ -242,10 +245,8 @@ def decode_symbols(symbols: DataFrame, root: str, symbol: int = SYMBOL) -> DataF
             yield flush()
 
     solved = placed.mapInArrow(run, f"root {kind}, size bigint, block bigint, data binary")
-    # every content asked for has a row, also if nothing usable of it is there
-    asked = symbols.select(F.col(root).alias("root"), F.col("size").cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("data")).distinct()
-    met = solved.unionByName(asked).groupBy("root").agg(F.max("size").alias("size"), F.count("data").alias("n"), F.array_sort(F.collect_list(F.when(F.col("data").isNotNull(), F.struct("block", "data")))).alias("parts"))
-    whole = F.when(F.col("n") == blocks, F.col("parts.data")).when(F.col("size") == 0, F.array())
+    met = solved.groupBy("root").agg(F.max("size").alias("size"), F.count("data").alias("n"), F.array_sort(F.collect_list(F.when(F.col("data").isNotNull(), F.struct("block", "data")))).alias("parts"))
+    whole = F.when(F.col("n") == blocks, F.col("parts.data"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
