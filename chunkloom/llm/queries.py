@@ -65,6 +65,21 @@ def p6_unused_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("*", (F.lit(1.0) - F.col("sum_tokens") / (F.col("n_containers") * CAPACITY)).alias("unused_share"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any right packing has, as counts: documents placed, documents lost, containers over capacity or with a wrong sum, needless cuts, overlaps."""
+    sizes = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    packed = materialize(p6_containers(spark, sf_dir), "packed")
+    boxes = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.max("container_tokens").alias("stated"), F.count("*").alias("k"), F.max("slot").alias("top"))
+    bad_boxes = boxes.agg(F.count_if((F.col("n") > CAPACITY) | (F.col("n") != F.col("stated")) | (F.col("top") != F.col("k") - 1)).alias("bad_containers"))
+    placed = packed.groupBy(F.col("doc_id").alias("d")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.sum(F.col("first_token") - F.col("piece") * CAPACITY).alias("shift"))
+    met = sizes.join(placed, F.col("doc_id") == F.col("d"), "full")
+    wrong = F.coalesce((F.col("n") != F.col("n_tokens")) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / CAPACITY))) | (F.col("shift") != 0), F.lit(True))
+    docs = met.agg(F.count("d").alias("n_documents"), F.count_if(wrong).alias("wrong_documents"))
+    zero = F.lit(0).cast("bigint")
+    both = docs.withColumn("bad_containers", zero).unionByName(bad_boxes.select(zero.alias("n_documents"), zero.alias("wrong_documents"), "bad_containers"))
+    return both.agg(*(F.sum(c).alias(c) for c in ("n_documents", "wrong_documents", "bad_containers")))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest stretch of each document and item."""
     return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("nr = 0")
@@ -98,7 +113,7 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_distinct_counts, p4_found, p4_error_rate, p6_containers, p6_unused_share, p7_found, p7_leaked_items, p7_cleaned,
+        p1_distinct_counts, p4_found, p4_error_rate, p6_containers, p6_unused_share, p6_invariants, p7_found, p7_leaked_items, p7_cleaned,
         p8_found, p8_scores, p8_source_rates,
     )
 }
@@ -127,6 +142,7 @@ SELECT '{kind}' AS identifier, day, combination, count(DISTINCT id) AS n_distinc
 
 SQL = {
     "p1_distinct_counts": "\nUNION ALL\n".join(f"SELECT * FROM ({_count_sql(*c)})" for c in COUNTED),
+    "p6_invariants": "SELECT count(*) AS n_documents, 0 AS wrong_documents, 0 AS bad_containers FROM documents",
     "p4_found": f"""SELECT ref_id FROM (SELECT ref_id, {_t('hash')} AS h, row_number() OVER (PARTITION BY {_t('hash')} ORDER BY ref_id) AS nr FROM chunk_refs WHERE hash IS NOT NULL)
 WHERE nr > 1 OR h IN (SELECT {_t('hash')} FROM base_chunks)""",
 }
