@@ -117,6 +117,12 @@ def ordered_union(first: DataFrame, second: DataFrame, group: str, peer: str, or
     return dense_index(place, group, "__o", "nr").select(group, peer, (F.col("nr") + 1).alias("nr"))
 
 
+def response(kind: Column, has: Column) -> Column:
+    """The kind of answer to a request: manifests and symbols are answered as such, chunks with ``NotFound`` where there's none; other kinds are bad."""
+    chunk = F.when(F.coalesce(has, F.lit(False)), "Chunk").otherwise("NotFound")
+    return F.when(kind == "pack", chunk).when(kind == "torrent", "Symbols").when(kind == "path", "Manifest").otherwise("BadRequest")
+
+
 # The tracker.
 
 

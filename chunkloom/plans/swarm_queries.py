@@ -192,8 +192,7 @@ def sequential_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "chunk_refs").select("ref_id", "origin", hex_key("hash").alias("key"))
     met = st.membership(refs, _held(spark, sf_dir).select("key"), "key")
-    answer = F.when(F.col("origin") == "pack", F.when(F.col("has"), "Chunk").otherwise("NotFound")).when(F.col("origin") == "torrent", "Symbols").when(F.col("origin") == "path", "Manifest").otherwise("BadRequest")
-    return met.select("ref_id", answer.alias("response"))
+    return met.select("ref_id", dc.response(F.col("origin"), F.col("has")).alias("response"))
 
 
 def _announces(spark: SparkSession, sf_dir: str) -> DataFrame:

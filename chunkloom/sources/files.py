@@ -55,10 +55,10 @@ def read_torrents(spark: SparkSession, folder: str) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The pack index from its tab-separated lines; torn lines are skipped, the last line of a hash wins.
 
-    Lines are ordered by file name and place in the file.
+    Lines are ordered by the time their file was written, its name, and the place in the file.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    return parse_index_lines(lines.withColumn("at", F.struct("f", "b", "i")), "value", "at")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("m"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return parse_index_lines(lines.withColumn("at", F.struct("m", "f", "b", "i")), "value", "at")
 
 
 def append_index(rows: DataFrame, path: str) -> None:
@@ -75,8 +75,8 @@ def append_references(rows: DataFrame, path: str) -> None:
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """``(hash, offset, length, path)`` of the lines of referenced chunks, ordered as in ``read_index``."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    return parse_reference_lines(lines.withColumn("at", F.struct("f", "b", "i")), "value", "at")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("m"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return parse_reference_lines(lines.withColumn("at", F.struct("m", "f", "b", "i")), "value", "at")
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
