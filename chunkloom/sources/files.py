@@ -11,19 +11,7 @@ from chunkloom.operators.bridge import read_metainfo
 from chunkloom.operators.manifest import decode_containers, unsafe_path
 from chunkloom.operators.protocol import parse_requests
 from chunkloom.operators.store import index_line, parse_index_lines, parse_reference_lines, reference_line
-
-
-def _empty_files(spark: SparkSession, folder: str) -> list[str]:
-    """Relative paths of files without bytes, which the binary source leaves out; a listing, as the source makes one itself."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    root = system.makeQualified(path).toUri()
-    found, out = system.listFiles(path, True), []
-    while found.hasNext():
-        status = found.next()
-        if status.getLen() == 0:
-            out.append(root.relativize(status.getPath().toUri()).getPath().lstrip("/"))
-    return [p[len(root.getPath()) :].lstrip("/") if p.startswith(root.getPath()) else p for p in out]
+from chunkloom.sources.streams import listing
 
 
 def scan_tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +25,8 @@ def scan_tree(spark: SparkSession, folder: str) -> DataFrame:
     root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     relative = F.ltrim(F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(root) + 1, 2147483647), F.lit("/"))
     some = files.select(relative.alias("path"), F.col("length").alias("size"), F.col("content").alias("data"))
-    empty = spark.createDataFrame([(p, 0, b"") for p in _empty_files(spark, folder)], "path string, size bigint, data binary")
+    # the binary source leaves files without bytes out
+    empty = spark.createDataFrame([(p, 0, b"") for p, _, size in listing(folder) if size == 0], "path string, size bigint, data binary")
     return some.unionByName(empty)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,18 +30,21 @@ def open_place(uri: str) -> tuple:
     return fs.LocalFileSystem(), os.path.abspath(uri[5:] if uri.startswith("file:") else uri)
 
 
+def listing(folder: str) -> list[tuple[str, str, int]]:
+    """(path below the folder with ``/``, place for ``open_place``, size) of all files below a folder, by one recursive listing."""
+    from pyarrow import fs
+
+    system, base = open_place(folder)
+    base = base.rstrip("/")
+    found = [(i.path[len(base) + 1 :], i.path, i.size) for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
+    if isinstance(system, fs.LocalFileSystem):
+        return found
+    return [(path, f"{folder.rstrip('/')}/{quote(path)}", size) for path, _, size in found]
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, uri, size)`` of all files below a folder, empty ones too, from the listing alone; paths are relative with ``/``."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    root = system.makeQualified(top).toUri().getPath().rstrip("/") + "/"
-    local = system.getScheme() == "file"
-    found, out = system.listFiles(top, True), []
-    while found.hasNext():
-        status = found.next()
-        uri = status.getPath().toUri()
-        out.append((uri.getPath()[len(root) :], uri.getPath() if local else status.getPath().toString(), status.getLen()))
-    return spark.createDataFrame(out, "path string, uri string, size bigint")
+    """``(path, uri, size)`` of all files below a folder, empty ones too, from the listing alone."""
+    return spark.createDataFrame(listing(folder), "path string, uri string, size bigint")
 
 
 def _blocks(uri: str) -> Iterator[bytes]:
