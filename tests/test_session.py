@@ -16,7 +16,7 @@ def test_shared_folder_follows_the_setting_or_is_one_of_its_own(spark, monkeypat
 
 def test_a_cluster_without_a_shared_folder_raises(spark, monkeypatch):
     monkeypatch.setattr(session, "_setting", lambda _: None)
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://host:7077"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(spark, "x")
 

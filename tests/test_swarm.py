@@ -121,13 +121,30 @@ def test_plans(spark):
     assert rows(union.select("nr", "peer")) == [(1, "y"), (2, "x")]
 
 
+def test_more_providers_than_a_word_has_bits_and_long_lists(spark, monkeypatch):
+    missing = spark.createDataFrame([("t", i, f"k{i}") for i in range(140)], "tree string, o bigint, k string")
+    have = spark.createDataFrame([(f"k{i}", f"p{i:03d}") for i in range(130)] + [("k5", "p129")], "k string, p string")
+    got = {r["o"]: r["provider"] for r in dc.assign(missing, have, "tree", "o", "k", "p").collect()}
+    assert got == {i: f"p{i:03d}" if i < 130 else None for i in range(140)}
+    monkeypatch.setattr(dc, "PAGE", 10)
+    found = spark.createDataFrame([("r", f"p{i}", 100 - i) for i in range(25)] + [("q", "x", 1)], "root string, peer string, o bigint")
+    pages = {(r["root"], r["page"]): r["providers"] for r in dc.providers(found, "root", "peer", "o").collect()}
+    assert {k: len(v) for k, v in pages.items()} == {("r", 0): 10, ("r", 1): 10, ("r", 2): 5, ("q", 0): 1} and pages["r", 0][0] == "p24" and pages["r", 2][-1] == "p0"
+    answers = dc.peers_response(found.select(F.col("root").alias("cid"), "peer")).collect()
+    assert sorted(p for r in answers for p in r["peers"]) == sorted([f"p{i}" for i in range(25)] + ["x"]) and {r["count"] for r in answers if r["cid"] == "r"} == {25}
+    with monkeypatch.context() as m:
+        m.setattr(dc, "MOST_NAMES", 100)
+        with pytest.raises(ValueError, match="providers"):
+            dc.provider_dictionary(have, "p")
+
+
 def test_tracker(spark):
     data = [("c", "p", ["a1"], "2025-03-01 00:00:00", 1), ("c", "p", ["a2"], "2025-03-01 00:00:00", 2), ("c", "q", ["b"], "2025-02-28 23:30:00", 3), ("c", "r", ["b"], "2025-02-28 23:30:01", 4), ("d", None, [], "2025-03-01 00:00:00", 5)]
     df = spark.createDataFrame(data, "cid string, peer string, addrs array<string>, ts string, seq bigint").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     now = F.lit("2025-03-01 00:00:00").cast("timestamp_ntz")
     fresh = dc.fresh_peers(df, now)
     assert rows(fresh.select("peer", F.col("addrs")[0])) == [("p", "a2"), ("r", "b")]  # q is exactly 1800 s old
-    assert [tuple(r) for r in dc.peers_response(fresh).collect()] == [("c", 2, ["p", "r"])]
+    assert [tuple(r) for r in dc.peers_response(fresh).collect()] == [("c", 2, 0, ["p", "r"])]
     status = spark.createDataFrame([("GET", "c", "p", 1, 405), ("POST", "", "p", 1, 400), ("POST", "c", None, 1, 400), ("POST", "c", "p", None, 400), ("POST", "c", "p", 2, 200), (None, "c", "p", 1, 405)], "m string, c string, p string, n int, want int")
     assert all(r[0] == r[1] for r in status.select("want", dc.announce_status(F.col("m"), F.col("c"), F.col("p"), F.col("n"))).collect())
     lines = spark.createDataFrame([(1, json.dumps({"peers": [{"peer": "A", "addrs": ["/x/1", "bad"]}, {"peer": "B", "addr": "/y/2"}, {"peer": "C", "addrs": ["no"]}, {"peer": "not ok", "addrs": ["/z/1"]}, {"peer": None}]})), (2, "{"), (3, None)], "i int, line string")
